@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tallyfold.functions.mathx import safe_ln
 from tallyfold.operators import skew
 from tallyfold.operators.annotations import canonical
 from tallyfold.session import Scratch, shuffle_partitions
@@ -41,6 +40,8 @@ class WorkerModel:
     name = "custom"
     # rounds run before the first counted one
     warmup = 0
+    # whether m_step_aggs uses the previous parameters
+    m_step_reads_params = False
 
     def __init__(self, k: int = 2):
         self.k = k
@@ -170,59 +171,52 @@ def posterior(
     if task_params is not None:
         rows = layout.with_tasks(rows, task_params)
     lik = rows.select(*layout.keys, *[c.alias(f"l{i}") for i, c in enumerate(likelihood)])
-    aggs = [F.count("*").alias("n_i")]
-    merge = [F.sum("n_i").alias("n_i")]
+    # framework steps as SQL text: one call per step instead of one per operator
+    aggs, merge = ["count(*) AS n_i"], ["sum(n_i) AS n_i"]
     for i in range(k):
         aggs += [
-            F.sum(safe_ln(F.col(f"l{i}"))).alias(f"s{i}"),
-            F.sum((F.col(f"l{i}") <= 0).cast("long")).alias(f"z{i}"),
+            f"sum(CASE WHEN l{i} > 0 THEN ln(l{i}) END) AS s{i}",
+            f"sum(CAST(l{i} <= 0 AS BIGINT)) AS z{i}",
         ]
-        merge += [F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"z{i}").alias(f"z{i}")]
-    sums = layout.by_task(lik, aggs, merge)
+        merge += [f"sum(s{i}) AS s{i}", f"sum(z{i}) AS z{i}"]
+    sums = layout.by_task(lik, [F.expr(a) for a in aggs], [F.expr(m) for m in merge])
     if task_prior is not None:
         sums = sums.join(task_prior, "task_id", "left")
-        log_prior = [F.coalesce(F.col(f"lp{i}"), F.lit(-math.log(k))) for i in range(k)]
+        log_prior = [f"coalesce(lp{i}, {-math.log(k)!r}D)" for i in range(k)]
     else:
-        log_prior = [F.lit(math.log(p)) if p > 0 else F.lit(None).cast("double") for p in prior]
-    sums = sums.select(
-        "task_id",
-        "n_i",
-        *[
-            F.when(F.col(f"z{i}") == 0, F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + log_prior[i]).alias(f"w{i}")
-            for i in range(k)
-        ],
-    )
-    ws = [F.col(f"w{i}") for i in range(k)]
-    sums = sums.withColumn("m", F.greatest(*ws) if k > 1 else ws[0])
-    sums = sums.select(
-        "task_id",
-        "n_i",
-        "m",
-        *[F.coalesce(F.exp(w - F.col("m")), F.lit(0.0)).alias(f"e{i}") for i, w in enumerate(ws)],
-    )
-    total = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
-    return sums.select(
-        "task_id",
-        *[
-            F.when(F.col("m").isNull(), F.lit(1.0 / k)).otherwise(F.col(f"e{i}") / total).alias(f"g{i}")
-            for i in range(k)
-        ],
-        "n_i",
-        F.when(F.col("m").isNotNull(), F.col("m") + F.ln(total)).otherwise(F.lit(0.0)).alias("evidence"),
+        # one row of K numbers, joined rather than inlined so that generated code is reused
+        cells = [f"{math.log(p)!r}D" if p > 0 else "CAST(NULL AS DOUBLE)" for p in prior]
+        names = ", ".join(["one", *[f"lp{i}" for i in range(k)]])
+        row = params.sparkSession.sql(f"SELECT * FROM VALUES (1, {', '.join(cells)}) AS t({names})")
+        sums = sums.withColumn("one", F.lit(1)).join(F.broadcast(row), "one")
+        log_prior = [f"lp{i}" for i in range(k)]
+    each = range(k)
+    total = " + ".join(f"e{i}" for i in each)
+    return (
+        sums.selectExpr(
+            "task_id",
+            "n_i",
+            *[f"CASE WHEN z{i} = 0 THEN coalesce(s{i}, 0D) + {log_prior[i]} END AS w{i}" for i in each],
+        )
+        .selectExpr("*", f"greatest({', '.join(f'w{i}' for i in each)}) AS m")
+        .selectExpr("task_id", "n_i", "m", *[f"coalesce(exp(w{i} - m), 0D) AS e{i}" for i in each])
+        .selectExpr(
+            "task_id",
+            *[f"CASE WHEN m IS NULL THEN {1.0 / k!r}D ELSE e{i} / ({total}) END AS g{i}" for i in each],
+            "n_i",
+            f"CASE WHEN m IS NULL THEN 0D ELSE m + ln({total}) END AS evidence",
+        )
     )
 
 
 def maximise(layout: Layout, params: DataFrame, post: DataFrame, model: WorkerModel) -> DataFrame:
     """M-step: new worker parameters, plus each worker's share of the global totals."""
-    k = model.k
-    rows = layout.with_tasks(layout.with_workers(layout.ann, params), post)
-    totals = [
-        *[F.sum(F.col(f"g{i}") / F.col("n_i")).alias(f"tot_g{i}") for i in range(k)],
-        F.sum(F.col("evidence") / F.col("n_i")).alias("tot_ev"),
-    ]
-    agg = rows.groupBy("worker_id").agg(*model.m_step_aggs(), *totals)
+    rows = layout.with_workers(layout.ann, params) if model.m_step_reads_params else layout.ann
+    rows = layout.with_tasks(rows, post)
+    shares = [f"sum(g{i} / n_i) AS tot_g{i}" for i in range(model.k)] + ["sum(evidence / n_i) AS tot_ev"]
+    agg = rows.groupBy("worker_id").agg(*model.m_step_aggs(), *[F.expr(s) for s in shares])
     new = [c.alias(name) for name, c in model.m_step_columns().items()]
-    return agg.select("worker_id", *new, *[f"tot_g{i}" for i in range(k)], "tot_ev")
+    return agg.select("worker_id", *new, *[f"tot_g{i}" for i in range(model.k)], "tot_ev")
 
 
 def read_totals(params: DataFrame, k: int) -> tuple[list[float], float]:

@@ -98,6 +98,7 @@ class SpammerWorker(WorkerModel):
     """
 
     name = "mace"
+    m_step_reads_params = True
 
     def __init__(
         self,
