@@ -173,11 +173,11 @@ def attach_features(
     dims: dict[str, list[int]] = {}
     offset = 0
     parts = []
-    for name, table in sets:
+    for position, (name, table) in enumerate(sets):
         value = next(c for c in table.columns if c not in keys)
         head = table.select(F.size(value)).first()
         width = int(head[0]) if head else 0
-        col = f"_set_{name}"
+        col = f"_set{position}"
         out = out.join(table.select(*keys, F.col(value).cast("array<double>").alias(col)), keys, "left")
         dims.setdefault(kernel_of(name), []).extend(range(offset, offset + width))
         offset += width

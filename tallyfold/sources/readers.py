@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.constants import ANNOTATION_SCHEMA
@@ -17,9 +17,11 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 def _fields(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """White-space separated text; short and blank lines drop out."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("p"), F.col("_metadata.file_name").alias("file"))
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    rows = lines.select(parts.alias("p"), F.col("_metadata.file_name").alias("file"), *folders)
     rows = rows.filter(F.size("p") >= len(names))
-    return rows.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)], "file")
+    return rows.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)], "file", *folders)
 
 
 def _judgements(rows: DataFrame) -> DataFrame:
@@ -38,16 +40,18 @@ def read_judgements_2011(spark: SparkSession, path: str) -> DataFrame:
     return _judgements(_fields(spark, path, ["topic_id", "assignment_id", "worker_id", "doc_id", "gold", "label"]))
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, doc_id: Column | None = None) -> DataFrame:
     """Folder of text files (recursive, hidden files skipped) as ``(doc_id, text)``.
 
-    One file is one row; use :func:`read_corpus_table` for corpora kept as Parquet.
+    The id is the file name unless ``doc_id`` derives it from ``_metadata``.  One
+    file is one row; use :func:`read_corpus_table` for corpora kept as Parquet.
     """
+    if doc_id is None:
+        doc_id = file_stem(F.col("_metadata.file_name"))
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(file_stem(F.col("_metadata.file_name")).alias("doc_id"), F.col("value").alias("text"))
+        spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
+        .select(doc_id.alias("doc_id"), F.col("value").alias("text"))
     )
 
 
@@ -69,7 +73,7 @@ def read_tagged_topics(spark: SparkSession, path: str) -> DataFrame:
     block = F.explode(
         F.regexp_extract_all(F.col("value"), F.lit(r"(?s)<num>.*?(?=<num>|\z)"), F.lit(0))
     )
-    topics = spark.read.option("wholetext", True).text(path).select(block.alias("b"))
+    topics = spark.read.text(path, wholetext=True).select(block.alias("b"))
     number = F.regexp_replace(F.regexp_extract("b", r"<num>([^\n]*)", 1), "Number:", "")
     title = F.regexp_extract("b", r"<title>([^\n]*)", 1)
     desc = F.regexp_extract("b", r"<desc>[^\n]*\n([^\n]*)", 1)
@@ -79,10 +83,10 @@ def read_tagged_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Ranked runs, one file per run; the file name is the run."""
+    """Ranked runs, one file (or one ``run=<name>`` folder) per run, named after it."""
     rows = _fields(spark, path, ["topic_id", "dummy", "doc_id", "rank", "score", "team"])
     return rows.select(
-        F.col("file").alias("run"),
+        F.col("run") if "run" in rows.columns else F.col("file").alias("run"),
         "topic_id",
         "dummy",
         "doc_id",
