@@ -60,14 +60,15 @@ def _without(w: Column, suffix: str) -> Column:
 
 
 def _swap(w: Column, table: list[tuple[str, str]], measure: str) -> Column:
-    out = w
-    for suffix, new in reversed(table):
-        stem = _without(w, suffix)
-        ok = stem.rlike(measure)
-        if measure == MEASURE_GT_1 and suffix == "ion":
-            ok = ok & stem.rlike("[st]$")
-        out = F.when(w.endswith(suffix), F.when(ok, F.concat(stem, F.lit(new))).otherwise(w)).otherwise(out)
-    return out
+    """Replace the longest listed suffix when the rest of the word is long enough."""
+    # the shortest possible rest belongs to the longest suffix
+    pattern = f"^(.*?)({'|'.join(suffix for suffix, _ in table)})$"
+    stem, suffix = F.regexp_extract(w, pattern, 1), F.regexp_extract(w, pattern, 2)
+    new = F.element_at(F.create_map(*[F.lit(part) for pair in table for part in pair]), suffix)
+    ok = stem.rlike(measure)
+    if measure == MEASURE_GT_1:
+        ok = ok & ((suffix != "ion") | stem.rlike("[st]$"))
+    return F.when((suffix != "") & ok, F.concat(stem, new)).otherwise(w)
 
 
 def porter_steps() -> list:

@@ -113,16 +113,17 @@ class Layout:
         spark = ann.sparkSession
         base = scratch.cut(ann.select("task_id", "worker_id", F.col("label").cast("int").alias("label")), "ann")
         n = shuffle_partitions(spark)
-        hot = scratch.cut(skew.hot_keys(base, "task_id", rows_per_part), "hot-tasks")
-        self.split = not hot.isEmpty()
-        self.hot = hot
-        self.hot_workers = scratch.cut(skew.hot_keys(base, "worker_id", rows_per_part), "hot-workers")
-        self.split_workers = not self.hot_workers.isEmpty()
+        self.split = self.split_workers = False
+        # with so few rows no key can be hot; the count comes from file footers
+        if base.count() > rows_per_part:
+            self.hot = scratch.cut(skew.hot_keys(base, "task_id", rows_per_part), "hot-tasks")
+            self.split = not self.hot.isEmpty()
+            self.hot_workers = scratch.cut(skew.hot_keys(base, "worker_id", rows_per_part), "hot-workers")
+            self.split_workers = not self.hot_workers.isEmpty()
+        self.keys = ["task_id"]
         if self.split:
             base = skew.spread(base, "task_id", "worker_id", hot, "part")
             self.keys = ["task_id", "part"]
-        else:
-            self.keys = ["task_id"]
         if self.split_workers:
             base = skew.spread(base, "worker_id", "task_id", self.hot_workers, "wpart")
         self.ann = base.repartition(n, *self.keys).persist(StorageLevel.MEMORY_AND_DISK)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.textx import porter_steps, tokens, word_count
+from tallyfold.session import Scratch
 
 MIN_DF = 3
 MAX_STOP_WORDS = 100_000
@@ -31,14 +32,18 @@ def token_counts(docs: DataFrame, key: str = "doc_id", lower: bool = True) -> Da
 
 
 def stem_words(words: DataFrame, word: str = "term") -> DataFrame:
-    """``(word, stem)`` for every distinct word; words of two letters or fewer stay."""
+    """``(word, stem)`` for every distinct word; words of two letters or fewer stay.
+
+    Each step is its own projection.  The result is written once: were a filter
+    on ``stem`` pushed through the projections, the optimizer would substitute
+    every step into the next and the expression would grow exponentially.
+    """
     out = words.select(word).distinct().withColumn("stem", F.lower(F.col(word)))
     for step in porter_steps():
-        # one projection per step keeps the expressions linear in size
         out = out.withColumn(
             "stem", F.when(F.length(word) > 2, step(F.col("stem"))).otherwise(F.col("stem"))
         )
-    return out
+    return Scratch(words.sparkSession).cut(out, "stems")
 
 
 def stem_counts(counts: DataFrame, key: str = "doc_id") -> DataFrame:
