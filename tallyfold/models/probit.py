@@ -143,6 +143,22 @@ def _gram_rows(dim: int, weights: np.ndarray):
     return run
 
 
+def spd_inverse(a: np.ndarray) -> np.ndarray:
+    """Inverse of a small symmetric positive definite matrix by elimination.
+
+    Plain array arithmetic: a multi-threaded LAPACK call can stall in a driver
+    process that has forked (as launching the JVM does).
+    """
+    a = np.array(a, dtype=float)
+    for i in range(len(a)):
+        pivot = a[i, i]
+        row, col = a[i] / pivot, a[:, i].copy()
+        a -= np.outer(col, row)
+        a[i], a[:, i] = row, -col / pivot
+        a[i, i] = 1.0 / pivot
+    return a
+
+
 def newton_probit(rows: DataFrame, dim: int, weights: np.ndarray | None = None, steps: int = 3):
     """Fisher-scoring steps for soft targets; returns weights and covariance.
 
@@ -152,7 +168,7 @@ def newton_probit(rows: DataFrame, dim: int, weights: np.ndarray | None = None,
     weights = np.zeros(dim) if weights is None else np.asarray(weights, dtype=float)
     upper = np.triu_indices(dim)
     n_upper = len(upper[0])
-    gram = np.eye(dim)
+    cov = np.eye(dim)
     for _ in range(steps):
         sums = (
             rows.select("phi", "shift", "target")
@@ -166,8 +182,9 @@ def newton_probit(rows: DataFrame, dim: int, weights: np.ndarray | None = None,
         gram = np.zeros((dim, dim))
         gram[upper] = flat[:n_upper]
         gram = gram + np.triu(gram, 1).T + np.eye(dim)
-        weights = weights + np.linalg.solve(gram, flat[n_upper:] - weights)
-    return weights, np.linalg.inv(gram)
+        cov = spd_inverse(gram)
+        weights = weights + (cov * (flat[n_upper:] - weights)).sum(axis=1)
+    return weights, cov
 
 
 def latent(phi_rows: DataFrame, weights: np.ndarray, cov: np.ndarray) -> DataFrame:
