@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the symbols that cleaning turns into a space (``+`` to ``/`` is a
-# contiguous run, so comma, hyphen and full stop are included).
-SYMBOLS = r"[#$%&()*+,\-./<=>?@\[\]\\^_`{|}~]+"
+# contiguous run, so comma, hyphen and full stop are included; a backslash is not).
+SYMBOLS = r"[#$%&()*+,\-./<=>?@\[\]^_`{|}~]+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 

@@ -21,9 +21,19 @@ MIN_DF = 3
 MAX_STOP_WORDS = 100_000
 
 
+def widen(docs: DataFrame, key: str) -> DataFrame:
+    """Spread a small input over all cores before heavy per-row work.
+
+    Only when the scan has fewer splits than the cluster has slots (one small
+    file, say); a large input already has more splits and is left alone.
+    """
+    slots = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(slots, key) if docs.rdd.getNumPartitions() < slots else docs
+
+
 def token_rows(docs: DataFrame, key: str = "doc_id", lower: bool = True) -> DataFrame:
     """One row per token: ``(key, term)``."""
-    return docs.select(key, F.explode(tokens("text", lower)).alias("term"))
+    return widen(docs, key).select(key, F.explode(tokens("text", lower)).alias("term"))
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", lower: bool = True) -> DataFrame:
