@@ -210,14 +210,25 @@ def posterior(
     )
 
 
-def maximise(layout: Layout, params: DataFrame, post: DataFrame, model: WorkerModel) -> DataFrame:
-    """M-step: new worker parameters, plus each worker's share of the global totals."""
-    rows = layout.with_workers(layout.ann, params) if model.m_step_reads_params else layout.ann
-    rows = layout.with_tasks(rows, post)
+def step_columns(model: WorkerModel) -> tuple[list[Column], list[Column]]:
+    """Aggregates and parameter columns of an M-step, built once per fit."""
     shares = [f"sum(g{i} / n_i) AS tot_g{i}" for i in range(model.k)] + ["sum(evidence / n_i) AS tot_ev"]
-    agg = rows.groupBy("worker_id").agg(*model.m_step_aggs(), *[F.expr(s) for s in shares])
+    aggs = [*model.m_step_aggs(), *[F.expr(s) for s in shares]]
     new = [c.alias(name) for name, c in model.m_step_columns().items()]
-    return agg.select("worker_id", *new, *[f"tot_g{i}" for i in range(model.k)], "tot_ev")
+    return aggs, [F.col("worker_id"), *new, *[F.col(f"tot_g{i}") for i in range(model.k)], F.col("tot_ev")]
+
+
+def maximise(
+    layout: Layout,
+    params: DataFrame,
+    post: DataFrame,
+    model: WorkerModel,
+    columns: tuple[list[Column], list[Column]] | None = None,
+) -> DataFrame:
+    """M-step: new worker parameters, plus each worker's share of the global totals."""
+    aggs, out = columns or step_columns(model)
+    rows = layout.with_workers(layout.ann, params) if model.m_step_reads_params else layout.ann
+    return layout.with_tasks(rows, post).groupBy("worker_id").agg(*aggs).select(*out)
 
 
 def read_totals(params: DataFrame, k: int) -> tuple[list[float], float]:
@@ -285,6 +296,7 @@ def fit_em(
     params = scratch.cut(
         layout.workers().select("worker_id", *[c.alias(n) for n, c in model.init_columns().items()]), "params"
     )
+    columns = step_columns(model)
     trace: list[tuple[int, str, float]] = []
     try:
         before = None  # (params, prior) that produced the current posterior
@@ -300,7 +312,7 @@ def fit_em(
                 llh = float(post.agg(F.sum("evidence")).first()[0])
                 trace.append((t - 1 - model.warmup, "log_likelihood", llh))
                 break
-            new = scratch.cut(maximise(layout, params, post, model), "params")
+            new = scratch.cut(maximise(layout, params, post, model, columns), "params")
             new_prior, llh = read_totals(new, k)
             if t > 1:
                 trace.append((t - 1 - model.warmup, "log_likelihood", llh))

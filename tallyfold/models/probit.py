@@ -32,6 +32,7 @@ from tallyfold.models.em import (
     posterior,
     read_totals,
     relative_change_below,
+    step_columns,
 )
 from tallyfold.models.majority import majority_vote
 from tallyfold.operators import skew
@@ -324,6 +325,7 @@ def feature_prior(
     model.k = 2
     layout = Layout(index_labels(ann, [0, 1]), scratch, rows_per_part)
     like = [model.likelihood(t) for t in range(2)]
+    columns = step_columns(model)
     trace: list[tuple[int, str, float]] = []
     try:
         with_shift = mean_offset(features, ann, mean_function, offset, mean_model)
@@ -351,7 +353,7 @@ def feature_prior(
                 break
             last = trace[-1][2]
             if freeze != "workers":
-                new = scratch.cut(maximise(layout, params, post, model), "params")
+                new = scratch.cut(maximise(layout, params, post, model, columns), "params")
                 scratch.drop(params)
                 params = new
             if freeze != "prior":

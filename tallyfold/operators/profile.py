@@ -2,8 +2,8 @@
 
 Statistics are joined back as aggregated tables rather than computed by
 ``Window.partitionBy``: a window would gather every row of a hot task or worker
-in one task, whereas the aggregate combines map-side and the join-back is split
-by the adaptive skew join.
+in one task, whereas the aggregate combines map-side and the join-back splits
+hot keys, which the counts already name.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.constants import NON_RELEVANT, RELEVANT
+from tallyfold.operators import skew
 from tallyfold.operators.annotations import correct_label, gold_labels
 
 
@@ -31,11 +32,18 @@ def worker_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("worker_id").agg(F.count("label").alias("worker_anno_num"))
 
 
-def with_counts(df: DataFrame) -> DataFrame:
-    return df.join(task_counts(df), "task_id").join(worker_counts(df), "worker_id")
+def _join_back(df: DataFrame, stats: DataFrame, key: str, by: str, count: str, rows_per_part: int) -> DataFrame:
+    """Statistics back to rows; hot keys, known from the counts, are split by ``by``."""
+    hot = skew.hot_from_counts(stats, key, count, rows_per_part)
+    return skew.skew_safe_join(df, stats, key, by, hot=hot)
 
 
-def with_profile(df: DataFrame) -> DataFrame:
+def with_counts(df: DataFrame, rows_per_part: int = skew.ROWS_PER_PART) -> DataFrame:
+    out = _join_back(df, task_counts(df), "task_id", "worker_id", "task_anno_num", rows_per_part)
+    return _join_back(out, worker_counts(df), "worker_id", "task_id", "worker_anno_num", rows_per_part)
+
+
+def with_profile(df: DataFrame, rows_per_part: int = skew.ROWS_PER_PART) -> DataFrame:
     """Every row with accuracy and count of its task and of its worker."""
     per_task = df.groupBy("task_id").agg(
         F.avg(correct_label()).alias("task_acc"), F.count("label").alias("task_anno_num")
@@ -43,7 +51,8 @@ def with_profile(df: DataFrame) -> DataFrame:
     per_worker = df.groupBy("worker_id").agg(
         F.avg(correct_label()).alias("worker_acc"), F.count("label").alias("worker_anno_num")
     )
-    return df.join(per_task, "task_id").join(per_worker, "worker_id")
+    out = _join_back(df, per_task, "task_id", "worker_id", "task_anno_num", rows_per_part)
+    return _join_back(out, per_worker, "worker_id", "task_id", "worker_anno_num", rows_per_part)
 
 
 def profile_filter(

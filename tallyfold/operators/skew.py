@@ -17,13 +17,18 @@ ROWS_PER_PART = 2_000_000
 
 def hot_keys(df: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """``(key, parts)`` for keys above ``rows_per_part`` rows, at most MAX_HOT_KEYS rows."""
+    return hot_from_counts(df.groupBy(key).count(), key, "count", rows_per_part)
+
+
+def hot_from_counts(
+    counts: DataFrame, key: str, count: str, rows_per_part: int = ROWS_PER_PART
+) -> DataFrame:
+    """The same list from a table that already holds the row count of each key."""
     return (
-        df.groupBy(key)
-        .count()
-        .filter(F.col("count") > rows_per_part)
-        .orderBy(F.desc("count"))
+        counts.filter(F.col(count) > rows_per_part)
+        .orderBy(F.desc(count))
         .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("count") / rows_per_part).cast("int").alias("parts"))
+        .select(key, F.ceil(F.col(count) / rows_per_part).cast("int").alias("parts"))
     )
 
 
@@ -52,9 +57,11 @@ def skew_safe_join(
     by: str,
     how: str = "inner",
     rows_per_part: int = ROWS_PER_PART,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``big JOIN small ON key`` where ``small`` has one row per key and ``big`` may be hot."""
-    hot = hot_keys(big, key, rows_per_part)
+    if hot is None:
+        hot = hot_keys(big, key, rows_per_part)
     left = spread(big, key, by, hot, "_part")
     right = repeat(small, key, hot, "_part")
     return left.join(right, [key, "_part"], how).drop("_part")

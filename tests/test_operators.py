@@ -143,6 +143,15 @@ def test_profile_filter_uses_unfiltered_statistics(spark):
     assert {(r["task_id"], r["worker_id"]) for r in kept.collect()} == {("a", 1), ("a", 2)}
 
 
+def test_profile_with_split_keys(spark):
+    rows = [(i % 4 if i < 60 else 9, i % 7, i % 2, (i * 3) % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "task_id int, worker_id int, gold int, label int")
+    cols = ("task_id", "worker_id", "task_acc", "task_anno_num", "worker_acc", "worker_anno_num")
+    whole = sorted(tuple(r) for r in P.with_profile(df).select(*cols).collect())
+    split = sorted(tuple(r) for r in P.with_profile(df, rows_per_part=10).select(*cols).collect())
+    assert whole == split and len(split) == 200
+
+
 def test_folds(spark):
     topics = spark.createDataFrame([(str(i),) for i in range(7)], "topic_id string")
     fold = {r[0]: r[1] for r in A.topic_fold(topics, 1, 3).collect()}
