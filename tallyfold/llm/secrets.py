@@ -1,0 +1,143 @@
+"""Secret scan with multipart credential linking.
+
+Strong findings (the base kinds ``assign``, ``access``, ``hex``) are always reported.  Weak parts —
+user or key identifiers, bare random-looking strings, endpoints — mean little alone.  They are joined by
+interval: within a scope (a run of lines without a blank line) every part is widened by ``reach``
+characters and meets the parts that overlap it; a weak part is reported only if a complementary part is
+there (identifier with secret, secret with identifier or endpoint, endpoint with secret).
+
+Null text: no spans.  Positions are code points, end exclusive.  Ties (same start) are ordered by kind:
+assign, access, hex, then ident, opaque, endpoint.  Every text is scanned whole; repeated rows give
+repeated results; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import bisect
+import hashlib
+import re
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from tallyfold.llm.rows import map_rows
+
+# The base patterns.
+ASSIGN = re.compile(
+    r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII
+)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+HEX = re.compile(r"[0-9a-f]{32,}")
+
+IDENT = re.compile(
+    r"(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.+-]{3,})",
+    re.IGNORECASE | re.ASCII,
+)
+OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b")
+BLANK = re.compile(r"\n[\x20\t\r]*\n")
+KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
+ROLE = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "opaque": "secret", "endpoint": "place"}
+NEEDS = {"id": ("secret",), "secret": ("id", "place"), "place": ("secret",)}
+FIELDS = [
+    ("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string"),
+    ("n_linked", "bigint"),
+]
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the strong findings."""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(out)
+
+
+def _random_looking(s: str) -> bool:
+    return any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s) and sum(c.isdigit() for c in s) >= 3
+
+
+def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak parts outside the strong findings."""
+    found = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
+    found += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _random_looking(m.group())]
+    found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if ":" in text else []
+    starts = [s for s, _, _ in strong]
+    ends = list(np.maximum.accumulate([e for _, _, e in strong])) if strong else []
+    free = []
+    for s, k, e in found:
+        i = bisect.bisect_left(starts, e)
+        if not (i and ends[i - 1] > s):
+            free.append((s, k, e))
+    return free
+
+
+def linked(text: str, strong: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """Weak parts with a complementary part within reach in the same scope: an interval join by role."""
+    if not weak or len(weak) + len(strong) < 2:
+        return []
+    cuts = [m.start() for m in BLANK.finditer(text)]
+    by: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for s, k, e in (*strong, *weak):
+        by.setdefault((bisect.bisect_right(cuts, s), ROLE[KINDS[k]]), []).append((s, e))
+    index = {}
+    for key, spans in by.items():
+        spans.sort()
+        index[key] = ([s for s, _ in spans], np.maximum.accumulate([e for _, e in spans]).tolist())
+    out = []
+    for s, k, e in weak:
+        scope = bisect.bisect_right(cuts, s)
+        for role in NEEDS[ROLE[KINDS[k]]]:
+            starts, ends = index.get((scope, role), ((), ()))
+            i = bisect.bisect_right(starts, e + reach)
+            if i and ends[i - 1] >= s - reach:
+                out.append((s, k, e))
+                break
+    return out
+
+
+def joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def scan_secrets(
+    docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), prefix: str = "", reach: int = 200
+) -> DataFrame:
+    """``carry`` columns of every document with the counts, digest and spans of its findings."""
+
+    def scan(texts):
+        rows = []
+        for t in texts.to_pylist():
+            t = t or ""
+            base = base_spans(t)
+            more = linked(t, base, weak_parts(t, base), reach)
+            n = [sum(k == j for _, k, _ in base) for j in range(3)]
+            rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
+        types = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
+        return [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+
+    return map_rows(docs, [text_col], FIELDS, scan, carry, prefix)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", reach: int = 200) -> DataFrame:
+    """``docs`` with every reported span of the text replaced by ``mask``; null stays null."""
+
+    def clean(texts):
+        out = []
+        for t in texts.to_pylist():
+            if t:
+                base = base_spans(t)
+                parts, at = [], 0
+                for s, _, e in sorted(base + linked(t, base, weak_parts(t, base), reach)):
+                    if e > at:
+                        if s >= at:
+                            parts += [t[at:s], mask]
+                        at = e
+                t = "".join([*parts, t[at:]])
+            out.append(t)
+        return [pa.array(out, pa.string())]
+
+    out = map_rows(docs, [text_col], [(text_col, "string")], clean, docs.columns)
+    return out.select(*docs.columns)
