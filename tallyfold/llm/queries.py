@@ -58,7 +58,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_scan_secrets")
 def op6_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyfold.llm.secrets import scan_secrets
+    from tallyfold.llm.credentials import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -95,3 +95,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfold.llm.repetition import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+@query("op1_classify_quality")
+def op1_classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfold.llm.cotrain import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_identify_language")
+def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.language import identify_language
+
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    out = identify_language(docs, ~F.col("held_out"), carry=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -49,7 +49,7 @@ def slices(texts: Sequence[pa.Array], limit: int = SLICE_BYTES) -> Iterator[tupl
 
 def map_rows(
     df: DataFrame,
-    inputs: Sequence[str],
+    inputs: Sequence[str | Column],
     fields: Sequence[tuple[str, str]],
     fn: Callable[..., Sequence],
     carry: Sequence[str] = (),
@@ -68,7 +68,8 @@ def map_rows(
     carry = [c for c in carry if c.lower() not in taken]
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [
-        (column(c).cast("string") if i < texts else column(c)).alias(f"i{i}") for i, c in enumerate(inputs)
+        (c.cast("string") if i < texts else c).alias(f"i{i}")
+        for i, c in enumerate(c if isinstance(c, Column) else column(c) for c in inputs)
     ] + [column(c).alias(f"c{i}") for i, c in enumerate(carry)]
     schema = T.StructType(
         [T.StructField(f"c{i}", types[c]) for i, c in enumerate(carry)]
