@@ -21,8 +21,9 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallyfold.llm.rows import map_rows
+from tallyfold.llm.rows import column, map_rows
 
 # The base patterns.
 ASSIGN = re.compile(
@@ -121,23 +122,38 @@ def scan_secrets(
     return map_rows(docs, [text_col], FIELDS, scan, carry, prefix)
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", reach: int = 200) -> DataFrame:
-    """``docs`` with every reported span of the text replaced by ``mask``; null stays null."""
+def redact(
+    docs: DataFrame, text_col: str = "text", size_col: str | None = None, mask: str = "[SECRET]", reach: int = 200
+) -> DataFrame:
+    """``docs`` with every reported span of the text replaced by ``mask``; null stays null.
+
+    Overlapping spans become one mask.  ``size_col``, if given, is set to the new length in code points in
+    the rows whose text changed.
+    """
 
     def clean(texts):
-        out = []
+        out, changed = [], []
         for t in texts.to_pylist():
+            parts, at = [], 0
             if t:
                 base = base_spans(t)
-                parts, at = [], 0
                 for s, _, e in sorted(base + linked(t, base, weak_parts(t, base), reach)):
                     if e > at:
                         if s >= at:
                             parts += [t[at:s], mask]
                         at = e
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return [pa.array(out, pa.string())]
-
-    out = map_rows(docs, [text_col], [(text_col, "string")], clean, docs.columns)
-    return out.select(*docs.columns)
+            changed.append(bool(parts))
+            out.append("".join([*parts, t[at:]]) if parts else t)
+        return [pa.array(out, pa.string()), pa.array(changed, pa.bool_())]
+
+    out = map_rows(docs, [text_col], [("text", "string"), ("changed", "boolean")], clean, docs.columns, "_clean_")
+    keep = []
+    for c in docs.columns:
+        if c == text_col:
+            keep.append(F.col("_clean_text").alias(c))
+        elif c == size_col:
+            new = F.length("_clean_text").cast(docs.schema[c].dataType)
+            keep.append(F.when(F.col("_clean_changed"), new).otherwise(column(c)).alias(c))
+        else:
+            keep.append(column(c))
+    return out.select(*keep)

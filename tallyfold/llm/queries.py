@@ -114,3 +114,59 @@ def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
     out = identify_language(docs, ~F.col("held_out"), carry=("doc_id", "held_out"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op5_pack_buckets")
+def op5_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfold.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op2_extract_html")
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfold.llm.htmlblocks import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_score_texts")
+def op3_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.ngramlm import score_texts
+
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 1
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    return score_texts(docs, ~F.col("held_out"), carry=("doc_id", "held_out"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS g
+            FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+     both_ AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+     link AS (SELECT a, b FROM both_ JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+     reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+     least_ AS (SELECT reach.a AS r, min(d.doc_id) AS low FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN least_ USING (r)
+"""
+
+
+@query("op8_near_duplicates", OP8_SQL)
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfold.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_remove_repeats")
+def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfold.llm.bwtdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
