@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from tallyfold.operators import skew
@@ -122,7 +123,7 @@ class Layout:
             self.split_workers = not self.hot_workers.isEmpty()
         self.keys = ["task_id"]
         if self.split:
-            base = skew.spread(base, "task_id", "worker_id", hot, "part")
+            base = skew.spread(base, "task_id", "worker_id", self.hot, "part")
             self.keys = ["task_id", "part"]
         if self.split_workers:
             base = skew.spread(base, "worker_id", "task_id", self.hot_workers, "wpart")
@@ -255,12 +256,17 @@ def decode(post: DataFrame, labels: Sequence[int], positive: int | None = None)
     )
 
 
-def index_labels(ann: DataFrame, labels: Sequence[int]) -> DataFrame:
-    """Replace label values by their position in ``labels``; other labels drop."""
-    if list(labels) == list(range(len(labels))):
-        return ann.filter(F.col("label").isin(list(labels)))
-    pos = F.array_position(F.array(*[F.lit(int(v)) for v in labels]), F.col("label").cast("int"))
-    return ann.withColumn("label", (pos - 1).cast("int")).filter(F.col("label") >= 0)
+def index_labels(ann: DataFrame, labels: Sequence[int], ignore_other_labels: bool = False) -> DataFrame:
+    """Replace label values by their position in ``labels``.
+
+    A null label is no label.  Any other value outside ``labels`` is an error unless ``ignore_other_labels``.
+    """
+    ann = ann.filter(F.col("label").isNotNull())
+    pos = F.array_position(F.array(*[F.lit(int(v)) for v in labels]), F.col("label").cast("int")) - 1
+    if ignore_other_labels:
+        return ann.withColumn("label", pos.cast("int")).filter(F.col("label") >= 0)
+    wrong = F.raise_error(F.concat(F.lit(f"label not among {list(labels)}: "), F.col("label").cast("string")))
+    return ann.withColumn("label", F.when(pos >= 0, pos.cast("int")).otherwise(wrong))
 
 
 def fit_em(
@@ -276,21 +282,24 @@ def fit_em(
     ref_params: dict[str, DataFrame] | None = None,
     logging_freq: int | None = None,
     rows_per_part: int = skew.ROWS_PER_PART,
+    ignore_other_labels: bool = False,
 ) -> Fit:
     """Alternate E and M steps until the log-likelihood settles.
 
     ``start_posterior='votes'`` starts from vote shares instead of from the
     model's initial parameters (for models whose start is symmetric).
     """
+    if rounds < 1:
+        raise ValueError("rounds must be at least 1")
     spark = ann.sparkSession
-    ann = canonical(ann, dedupe)
     if labels is None:
-        labels = infer_labels(ann)
+        labels = infer_labels(ann.filter(F.col("label").isNotNull()))
+    ann = canonical(ann, dedupe)
     k = model.k = len(labels)
     if k < 2:
         raise ValueError("label aggregation needs at least two labels")
     scratch = Scratch(spark)
-    layout = Layout(index_labels(ann, labels), scratch, rows_per_part)
+    layout = Layout(index_labels(ann, labels, ignore_other_labels), scratch, rows_per_part)
     like = [model.likelihood(t) for t in range(k)]
     prior = [1.0 / k] * k
     params = scratch.cut(
@@ -374,7 +383,15 @@ def param_metrics(
     for name, ref in (refs or {}).items():
         if name not in est.columns or key not in ref.columns:
             continue
-        pairs = ref.join(est.select(key, F.col(name).alias("est")), key)
+        # a confusion matrix is one row per (worker, truth, label), a distribution one array per worker
+        keys = [c for c in (key, "truth", "label") if c in ref.columns and c in est.columns]
+        found = est.select(*keys, F.col(name).alias("est"))
+        known = ref.select(*keys, "ref")
+        if isinstance(found.schema["est"].dataType, T.ArrayType):
+            found = found.select(*keys, F.posexplode("est").alias("_at", "est"))
+            known = known.select(*keys, F.posexplode("ref").alias("_at", "ref"))
+            keys = [*keys, "_at"]
+        pairs = known.join(found, keys)
         mse = mean_squared_error(pairs).first()["mse"]
         if mse is not None:
             out.append((step, f"{name}_mse", float(mse)))

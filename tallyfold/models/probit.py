@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -87,6 +87,9 @@ def feature_map(
     rbf, linear = list(dims.get("rbf", [])), list(dims.get("linear", []))
     if not rbf and not linear:
         raise ValueError("no kernel dimension given")
+    size = 1 + len(linear) + (fourier if rbf else 0)
+    if size > MAX_DIM:
+        raise ValueError(f"feature map has {size} columns; the limit is {MAX_DIM}")
     if not rbf:
         return FeatureMap(linear, [], linear_variance=variance)
     if lengthscales is None:
@@ -96,10 +99,7 @@ def feature_map(
     rng = np.random.default_rng(seed)
     freq = rng.standard_normal((len(rbf), fourier)) / np.asarray(lengthscales, dtype=float)[:, None]
     phase = rng.uniform(0, 2 * math.pi, fourier)
-    fmap = FeatureMap(linear, rbf, variance, variance, list(lengthscales), freq, phase)
-    if fmap.dim > MAX_DIM:
-        raise ValueError(f"feature map has {fmap.dim} columns; the limit is {MAX_DIM}")
-    return fmap
+    return FeatureMap(linear, rbf, variance, variance, list(lengthscales), freq, phase)
 
 
 def mapped(features: DataFrame, fmap: FeatureMap) -> DataFrame:
@@ -222,41 +222,72 @@ def predict(latent_rows: DataFrame) -> DataFrame:
     return latent_rows.select("task_id", p.alias("mean"), v.alias("var"), to_class(p, 0.5).alias("label"))
 
 
-def mean_offset(
+@dataclass
+class MeanFunction:
+    """A fitted mean function m(x); ``model`` is None for the zero mean."""
+
+    kind: str = "zero"
+    offset: str = "logit"
+    model: object = None
+
+    def apply(self, features: DataFrame) -> DataFrame:
+        """``(task_id, features, shift)``."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        if self.model is None:
+            return features.select("task_id", "features", F.lit(0.0).alias("shift"))
+        vec = features.withColumn("x", array_to_vector(F.col("features").cast("array<double>")))
+        if self.kind == "linear":
+            return self.model.transform(vec).select("task_id", "features", "shift")
+        p = vector_to_array(F.col(self.model.getProbabilityCol()))[1]
+        p = F.greatest(F.least(p, F.lit(1 - JITTER)), F.lit(JITTER))
+        shift = F.ln(p) if self.offset == "log_proba" else F.ln(p / (F.lit(1.0) - p))
+        return self.model.transform(vec).select("task_id", "features", shift.alias("shift"))
+
+
+def fit_mean(
     features: DataFrame,
     ann: DataFrame,
     kind: str = "zero",
     offset: str = "logit",
     model=None,
-) -> DataFrame:
-    """Mean function m(x) as ``(task_id, features, shift)``.
-
-    ``zero``; ``linear`` (least squares on centred majority labels);
-    ``logistic`` (regression on majority labels, ``offset`` logit or log
-    probability); ``pretrained`` (a fitted pyspark.ml classifier as ``model``).
+) -> MeanFunction:
+    """``zero``; ``linear`` (least squares on centred majority labels);
+    ``logistic`` (regression on majority labels with penalty 1 / n on unscaled
+    features, ``offset`` logit or log probability); ``pretrained`` (a fitted
+    pyspark.ml classifier as ``model``).
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
     if kind == "zero":
-        return features.select("task_id", "features", F.lit(0.0).alias("shift"))
+        return MeanFunction()
+    if kind == "pretrained":
+        return MeanFunction(kind, offset, model)
     vec = features.withColumn("x", array_to_vector(F.col("features").cast("array<double>")))
-    votes = majority_vote(ann)
-    train = vec.join(votes, "task_id").select("x", F.col("label").cast("double").alias("y"))
+    train = vec.join(majority_vote(ann), "task_id").select("x", F.col("label").cast("double").alias("y"))
     if kind == "linear":
         centred = train.withColumn("y", F.col("y") * 2 - 1)
         fitted = LinearRegression(featuresCol="x", labelCol="y", regParam=1e-3, predictionCol="shift").fit(centred)
-        return fitted.transform(vec).select("task_id", "features", "shift")
-    if kind == "logistic":
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1e-3, probabilityCol="prob").fit(train)
-    elif kind != "pretrained":
+    elif kind == "logistic":
+        fitted = LogisticRegression(
+            featuresCol="x", labelCol="y", regParam=1.0 / max(1, train.count()), standardization=False, probabilityCol="prob"
+        ).fit(train)
+    else:
         raise ValueError(f"unknown mean function {kind!r}")
-    p = F.greatest(
-        F.least(vector_to_array(F.col(model.getProbabilityCol()))[1], F.lit(1 - JITTER)), F.lit(JITTER)
-    )
-    shift = F.ln(p) if offset == "log_proba" else F.ln(p / (F.lit(1.0) - p))
-    return model.transform(vec).select("task_id", "features", shift.alias("shift"))
+    return MeanFunction(kind, offset, fitted)
+
+
+def mean_offset(
+    features: DataFrame,
+    ann: DataFrame,
+    kind: str = "zero",
+    offset: str = "logit",
+    model=None,
+) -> DataFrame:
+    """Mean function m(x) as ``(task_id, features, shift)``; see :func:`fit_mean`."""
+    return fit_mean(features, ann, kind, offset, model).apply(features)
 
 
 def log_prior_table(latent_rows: DataFrame, prior_power: str = "once", counts: DataFrame | None = None) -> DataFrame:
@@ -284,11 +315,16 @@ class PriorFit(Fit):
     weights: np.ndarray | None = None
     covariance: np.ndarray | None = None
     predictions: DataFrame | None = None
+    mean: MeanFunction = field(default_factory=MeanFunction)
 
     def predict_new(self, features: DataFrame, shift: Column | None = None) -> DataFrame:
-        """Label probabilities of tasks that have features but no annotation."""
-        rows = mapped(features.select("task_id", "features"), self.feature_map)
-        rows = rows.withColumn("shift", F.lit(0.0) if shift is None else shift)
+        """Label probabilities of tasks that have features but no annotation.
+
+        The fitted mean function is applied unless ``shift`` replaces it.
+        """
+        rows = mapped(self.mean.apply(features), self.feature_map)
+        if shift is not None:
+            rows = rows.withColumn("shift", shift)
         return predict(latent(rows, self.weights, self.covariance))
 
 
@@ -328,7 +364,8 @@ def feature_prior(
     columns = step_columns(model)
     trace: list[tuple[int, str, float]] = []
     try:
-        with_shift = mean_offset(features, ann, mean_function, offset, mean_model)
+        mean = fit_mean(features, ann, mean_function, offset, mean_model)
+        with_shift = mean.apply(features)
         fmap = feature_map(features, dims, fourier, lengthscales, seed=seed)
         phi = scratch.cut(mapped(with_shift, fmap), "phi")
         counts = None
@@ -366,7 +403,7 @@ def feature_prior(
         layout.close()
     out = PriorFit(
         f"prior-{model.name}", decode(post, [0, 1]), model.worker_table(params), None, trace,
-        feature_map=fmap, weights=weights, covariance=cov, predictions=predict(f),
+        feature_map=fmap, weights=weights, covariance=cov, predictions=predict(f), mean=mean,
     )
     out.params = params
     return out
@@ -387,14 +424,15 @@ def prior_on_votes(
     ann = canonical(ann, "max")
     votes = majority_vote(ann)
     fmap = feature_map(features, dims, fourier, lengthscales, seed=seed)
-    phi = scratch.cut(mapped(mean_offset(features, ann, mean_function), fmap), "phi")
+    mean = fit_mean(features, ann, mean_function)
+    phi = scratch.cut(mapped(mean.apply(features), fmap), "phi")
     targets = phi.join(votes.select("task_id", F.col("label").cast("double").alias("target")), "task_id")
     weights, cov = newton_probit(scratch.cut(targets, "targets"), fmap.dim, None, newton_steps)
     scored = predict(scratch.cut(latent(phi, weights, cov), "latent"))
     labels = scored.select("task_id", "label", F.col("mean").alias("score"))
     return PriorFit(
         "prior-votes", labels, votes.limit(0), None, [],
-        feature_map=fmap, weights=weights, covariance=cov, predictions=scored,
+        feature_map=fmap, weights=weights, covariance=cov, predictions=scored, mean=mean,
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.constants import NON_RELEVANT, RELEVANT
@@ -17,7 +17,6 @@ from tallyfold.operators.ranking import running_totals
 from tallyfold.session import Scratch
 
 RANK_BLOCK_ROWS = 500_000
-MAX_RANK_BLOCKS = 2048
 
 
 def to_class(score: str | Column, threshold: float) -> Column:
@@ -64,7 +63,7 @@ def class_scores(pred: DataFrame) -> DataFrame:
     )
 
 
-def auc(pred: DataFrame, max_rows: int | None = None) -> DataFrame:
+def auc(pred: DataFrame) -> DataFrame:
     """Area under the ROC curve; tied scores count one half.
 
     Rows collapse to one per distinct score first, then each score needs only
@@ -78,8 +77,7 @@ def auc(pred: DataFrame, max_rows: int | None = None) -> DataFrame:
             F.sum((F.col("gold") == NON_RELEVANT).cast("long")).alias("neg"),
         )
     )
-    kw = {} if max_rows is None else {"max_rows": max_rows}
-    ranked = running_totals(per_score, "score", ["neg"], **kw)
+    ranked = running_totals(per_score, "score", ["neg"])
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     return ranked.agg(
         F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc")
@@ -154,7 +152,7 @@ def kendall_tau(
     )
     n_points = points.count()
     if blocks is None:
-        blocks = min(MAX_RANK_BLOCKS, max(1, -(-n_points // block_rows)))
+        blocks = max(1, -(-n_points // block_rows))
     by_ref = scratch.cut(
         points.repartitionByRange(blocks, "ref", "est").withColumn("p", F.spark_partition_id()), "by-ref"
     )
@@ -163,33 +161,34 @@ def kendall_tau(
     )
     same_q = cells.groupBy("q").applyInPandas(_block_inversions(["ref", "est"], ["est", "ref"]), "inv long")
     same_p = cells.groupBy("p").applyInPandas(_block_inversions(["ref", "est"], ["q"]), "inv long")
-    # at most blocks^2 (2048^2) cells, one task
-    grid = cells.groupBy("p", "q").agg(F.sum("w").alias("w"))
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((blocks, blocks))
-        table[pdf["p"].to_numpy(), pdf["q"].to_numpy()] = pdf["w"].to_numpy()
-        # points in earlier p-blocks and later q-blocks
-        right = np.cumsum(table[:, ::-1], axis=1)[:, ::-1] - table
-        above = np.cumsum(right, axis=0) - right
-        return pd.DataFrame({"inv": [int((above * table).sum())]})
-
-    between = grid.groupBy(F.lit(0).alias("all")).applyInPandas(across, "inv long")
-    discordant = same_q.unionAll(same_p).unionAll(between).agg(
-        F.sum("inv").cast("double").alias("discordant")
+    # every cell of the block table meets the points in earlier p-blocks and later q-blocks
+    cells = cells.groupBy("p", "q").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+    n_cells = F.lit(blocks).cast("long")
+    grid = spark.range(blocks * blocks).select(
+        F.floor(F.col("id") / n_cells).cast("int").alias("p"), F.pmod(F.col("id"), n_cells).cast("int").alias("q")
     )
+    grid = grid.join(cells, ["p", "q"], "left").select("p", "q", F.coalesce("w", F.lit(0).cast("decimal(38,0)")).alias("w"))
+    later = Window.partitionBy("p").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("q").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("right", F.sum("w").over(later)).withColumn("above", F.sum("right").over(earlier))
+    between = grid.filter("w > 0 AND above > 0").select((F.col("w") * F.col("above")).cast("decimal(38,0)").alias("inv"))
+    inside = same_q.unionAll(same_p).select(F.col("inv").cast("decimal(38,0)").alias("inv"))
+    discordant = inside.unionAll(between).agg(F.sum("inv").cast("double").alias("discordant"))
+
+    n = F.col("n").cast("decimal(19,0)")
+    pairs_of_n = F.floor(n * (n - 1) / 2).cast("decimal(38,0)")
 
     def tied(cols: list[str], name: str) -> DataFrame:
-        n = F.col("n").cast("double")
-        return points.groupBy(*cols).agg(F.sum("w").alias("n")).agg(F.sum(n * (n - 1) / 2).alias(name))
+        return points.groupBy(*cols).agg(F.sum("w").alias("n")).agg(F.sum(pairs_of_n).alias(name))
 
-    n = F.col("n").cast("double")
-    everything = points.agg(F.sum("w").alias("n")).select((n * (n - 1) / 2).alias("all_pairs"))
+    everything = points.agg(F.sum("w").alias("n")).select(pairs_of_n.alias("all_pairs"))
     counts = one_row(
         discordant, tied(["ref"], "tied_ref"), tied(["est"], "tied_est"), tied(["ref", "est"], "tied_both"), everything
     )
-    usable = F.col("all_pairs") - F.col("tied_ref") - F.col("tied_est") + F.col("tied_both")
-    scale = F.sqrt(F.col("all_pairs") - F.col("tied_ref")) * F.sqrt(F.col("all_pairs") - F.col("tied_est"))
+    usable = (F.col("all_pairs") - F.col("tied_ref") - F.col("tied_est") + F.col("tied_both")).cast("double")
+    scale = F.sqrt((F.col("all_pairs") - F.col("tied_ref")).cast("double")) * F.sqrt(
+        (F.col("all_pairs") - F.col("tied_est")).cast("double")
+    )
     return counts.select(F.try_divide(usable - 2 * F.col("discordant"), scale).alias("tau"))
 
 

@@ -175,8 +175,10 @@ def attach_features(
     parts = []
     for position, (name, table) in enumerate(sets):
         value = next(c for c in table.columns if c not in keys)
-        head = table.select(F.size(value)).first()
-        width = int(head[0]) if head else 0
+        sizes = table.agg(F.min(F.size(value)), F.max(F.size(value))).first()
+        if sizes[0] != sizes[1]:
+            raise ValueError(f"feature set {name!r} has rows of {sizes[0]} to {sizes[1]} values")
+        width = int(sizes[0] or 0)
         col = f"_set{position}"
         out = out.join(table.select(*keys, F.col(value).cast("array<double>").alias(col)), keys, "left")
         dims.setdefault(kernel_of(name), []).extend(range(offset, offset + width))

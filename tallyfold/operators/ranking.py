@@ -1,9 +1,9 @@
 """Row numbers and running totals that survive one dominant group.
 
-Groups that fit one task use a plain window.  When some group is larger than
-``max_group_rows`` the rows are range-partitioned on (group, order), so a hot
-group spans many slices; row numbers are local numbers plus the row counts of
-the earlier slices of the same group.
+Rows are range-partitioned on (group, order) into slices, so a hot group spans
+many slices.  A row number is the local number plus the rows of its group in
+earlier slices.  Only the first group of a slice can have such rows, so the
+table of offsets has at most one row per slice.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from pyspark.sql.window import Window
 
 from tallyfold.session import Scratch, shuffle_partitions
 
-MAX_GROUP_ROWS = 5_000_000
-
-
 def _slices(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Range-partition by ``order`` and record the slice number, written once."""
     spark = df.sparkSession
@@ -28,59 +25,37 @@ def _slices(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return Scratch(spark).cut(sliced, name)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality of two lists of columns."""
+    cond = F.lit(True)
+    for x, y in zip(left, right):
+        cond = cond & F.col(x).eqNullSafe(F.col(y))
+    return cond
 
 
-def row_numbers(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    out: str = "rn",
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """``row_number()`` within ``keys``; ``order`` must be a total order."""
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rn") -> DataFrame:
+    """``row_number()`` within ``keys``; ``order`` must be a total order.  Null keys form a group."""
     keys = list(keys)
-    if largest_group(df, keys) <= max_group_rows:
-        window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        return df.withColumn(out, F.row_number().over(window.orderBy(*order)).cast("long"))
     sliced = _slices(df, [F.col(k) for k in keys] + list(order), "rank-slices")
     per_slice = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slice")
+    before = F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_slice.select(
-        *keys,
-        "_slice",
-        F.coalesce(
-            F.sum("_n").over(
-                earlier.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_in"), before.alias("_before")
+    ).filter("_before > 0")
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    same = _same([*keys, "_slice"], [*[f"_key{i}" for i in range(len(keys))], "_in"])
     return (
         sliced.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*keys, "_slice"])
-        .withColumn(out, (F.col("_local") + F.col("_before")).cast("long"))
-        .drop("_slice", "_local", "_before")
+        .join(F.broadcast(offsets), same, "left")
+        .withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
+        .select(*df.columns, out)
     )
 
 
-def running_totals(
-    df: DataFrame,
-    order: str,
-    values: Sequence[str],
-    max_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def running_totals(df: DataFrame, order: str, values: Sequence[str]) -> DataFrame:
     """Add ``<v>_before``: the total of ``v`` over rows with a smaller ``order`` (unique)."""
-    table = Scratch(df.sparkSession).cut(df, "totals")
-    if table.count() <= max_rows:
-        w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        for v in values:
-            table = table.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(w), F.lit(0)))
-        return table
-    sliced = _slices(table, [F.col(order)], "total-slices")
+    sliced = _slices(df, [F.col(order)], "total-slices")
     per_slice = sliced.groupBy("_slice").agg(*[F.sum(v).alias(v) for v in values])
     # one row per slice: as many rows as shuffle partitions
     w = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +71,7 @@ def running_totals(
     return out.drop("_slice")
 
 
-def rerank_runs(runs: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def rerank_runs(runs: DataFrame) -> DataFrame:
     """Ranks 1..n within each (run, topic) by numeric score, best first.
 
     Ties go to the smaller old rank, then to the smaller document id.
@@ -104,7 +79,7 @@ def rerank_runs(runs: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFr
     order = [F.col("score").cast("double").desc(), F.col("rank"), F.col("doc_id")]
     renamed = runs.withColumn("score", F.col("score").cast("double"))
     return (
-        row_numbers(renamed, ["run", "topic_id"], order, "new_rank", max_group_rows)
+        row_numbers(renamed, ["run", "topic_id"], order, "new_rank")
         .drop("rank")
         .withColumnRenamed("new_rank", "rank")
     )
@@ -115,12 +90,16 @@ def top_fraction(
     keys: Sequence[str],
     order: Sequence[Column],
     fraction: float,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """First ``floor(fraction * n)`` rows of each group in ``order``."""
-    numbered = row_numbers(df, keys, order, "_rn", max_group_rows)
-    sizes = df.groupBy(*keys).agg(F.floor(F.lit(float(fraction)) * F.count("*")).alias("_keep"))
-    return numbered.join(sizes, list(keys)).filter(F.col("_rn") <= F.col("_keep")).drop("_rn", "_keep")
+    numbered = Scratch(df.sparkSession).cut(row_numbers(df, keys, order, "_rn"), "numbered")
+    # the highest number of a group is its size
+    names = [f"_key{i}" for i in range(len(keys))]
+    sizes = numbered.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+        F.floor(F.lit(float(fraction)) * F.max("_rn")).alias("_keep")
+    )
+    kept = numbered.join(sizes, _same(keys, names)).filter(F.col("_rn") <= F.col("_keep"))
+    return kept.select(*df.columns)
 
 
 def top_k(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:

@@ -79,6 +79,38 @@ def zc_ctes(ann: str, k: int, rounds: int) -> str:
     return ",\n".join(ctes)
 
 
+def shrunk_coin_ctes(ann: str, k: int, rounds: int, start: float, weight: float) -> str:
+    """One competence per worker, shrunk towards ``start`` as by ``weight`` more labels."""
+    ctes = [
+        f"ks AS ({_labels(k)})",
+        f"ann AS MATERIALIZED (SELECT DISTINCT task_id, worker_id, label FROM ({ann}) AS src)",
+        f"c0 AS (SELECT DISTINCT worker_id, {start!r}e0 AS c FROM ann)",
+        f"q0 AS ({_uniform(k)})",
+    ]
+    for t in range(1, rounds + 1):
+        ctes.append(
+            f"""l{t} AS (SELECT a.task_id, ks.v AS z,
+              CASE WHEN a.label = ks.v THEN c.c ELSE (1e0 - c.c) / {k - 1} END AS p
+              FROM ann a JOIN c{t-1} c ON c.worker_id = a.worker_id CROSS JOIN ks)"""
+        )
+        ctes += _posterior(f"e{t}", f"l{t}", k, f"SELECT * FROM q{t-1}")
+        ctes.append(f"q{t} AS MATERIALIZED (SELECT z, avg(g) AS p FROM e{t} GROUP BY z)")
+        ctes.append(
+            f"""c{t} AS MATERIALIZED (SELECT a.worker_id, (sum(e.g) + {start * weight!r}e0) / (count(*) + {weight!r}e0) AS c
+              FROM ann a JOIN e{t} e ON e.task_id = a.task_id AND e.z = a.label GROUP BY 1)"""
+        )
+    return ",\n".join(ctes)
+
+
+def likelihood_trace_sql(rounds: int, threshold: float) -> str:
+    """Rounds and log likelihoods of the unrolled posteriors up to the first small relative change."""
+    values = " UNION ALL ".join(f"SELECT {t} AS t, {_llh(f'e{t}')} AS v" for t in range(1, rounds + 2))
+    return f"""SELECT CAST(t - 1 AS INT) AS iter, 'log_likelihood' AS metric, round(v, 4) AS value FROM (
+      SELECT t, v, coalesce(min(CASE WHEN small THEN t END) OVER (), 0) AS last FROM (
+        SELECT t, v, abs((v - lag(v) OVER (ORDER BY t)) / lag(v) OVER (ORDER BY t)) < {threshold!r} AS small
+        FROM ({values}) AS x) AS y) AS z WHERE t >= 2 AND t <= last"""
+
+
 def mace_ctes(ann: str, k: int, rounds: int, alpha: float = 0.5, beta: float = 0.5, delta: float = 0.01) -> str:
     """Smoothed EM; round 1 starts from vote shares of the largest label per (task, worker)."""
     ctes = [
@@ -118,6 +150,61 @@ def mace_ctes(ann: str, k: int, rounds: int, alpha: float = 0.5, beta: float = 0
     return ",\n".join(ctes)
 
 
+def digamma_sql(x: str) -> str:
+    """psi(x): recurrence up to an argument of at least 8, then five terms of the asymptotic series."""
+    up = " - ".join(f"1e0 / (({x}) + {i}e0)" for i in range(8))
+    y = f"(({x}) + 8e0)"
+    series = (
+        f"ln({y}) - 1e0 / (2e0 * {y}) - 1e0 / (12e0 * pow({y}, 2)) + 1e0 / (120e0 * pow({y}, 4)) "
+        f"- 1e0 / (252e0 * pow({y}, 6)) + 1e0 / (240e0 * pow({y}, 8))"
+    )
+    return f"({series} - {up})"
+
+
+def mace_variational_ctes(ann: str, k: int, rounds: int, alpha: float = 0.5, beta: float = 0.5, delta: float = 0.01) -> str:
+    """The smoothed form with exp(psi - psi) in place of the ratios; s holds spamming (s) and copying (c)."""
+
+    def ratio(x: str, total: str) -> str:
+        return f"exp({digamma_sql(x)} - {digamma_sql(total)})"
+
+    ctes = [
+        f"ks AS ({_labels(k)})",
+        f"""ann AS MATERIALIZED (SELECT task_id, worker_id, max(label) AS label FROM ({ann}) AS src GROUP BY 1, 2)""",
+        "s0 AS (SELECT DISTINCT worker_id, 0.5e0 AS s, 0.5e0 AS c FROM ann)",
+        f"x0 AS (SELECT worker_id, v AS y, {1.0 / k!r}e0 AS x FROM (SELECT DISTINCT worker_id FROM ann) w, ks)",
+        f"q0 AS ({_uniform(k)})",
+        """e1 AS MATERIALIZED (SELECT task_id, ks.v AS z,
+          avg(CASE WHEN label = ks.v THEN 1e0 ELSE 0e0 END) AS g, 0e0 AS ev FROM ann CROSS JOIN ks GROUP BY 1, 2)""",
+    ]
+    for t in range(1, rounds + 1):
+        if t > 1:
+            ctes.append(
+                f"""l{t} AS (SELECT a.task_id, ks.v AS z,
+                  CASE WHEN a.label = ks.v THEN s.c ELSE 0e0 END + s.s * x.x AS p
+                  FROM ann a JOIN s{t-1} s ON s.worker_id = a.worker_id
+                  JOIN x{t-1} x ON x.worker_id = a.worker_id AND x.y = a.label CROSS JOIN ks)"""
+            )
+            ctes += _posterior(f"e{t}", f"l{t}", k, "SELECT * FROM q0")
+        ctes.append(
+            f"""m{t} AS MATERIALIZED (SELECT a.worker_id, a.label,
+              e.g * (s.s * x.x / (s.c + s.s * x.x)) + (1e0 - e.g) AS spam
+              FROM ann a JOIN s{t-1} s ON s.worker_id = a.worker_id
+              JOIN x{t-1} x ON x.worker_id = a.worker_id AND x.y = a.label
+              JOIN e{t} e ON e.task_id = a.task_id AND e.z = a.label)"""
+        )
+        ctes.append(
+            f"""s{t} AS MATERIALIZED (SELECT worker_id, {ratio(f'spam + {alpha}e0', f'n + {alpha + beta}e0')} AS s,
+              {ratio(f'n - spam + {beta}e0', f'n + {alpha + beta}e0')} AS c
+              FROM (SELECT worker_id, sum(spam) AS spam, CAST(count(*) AS DOUBLE) AS n FROM m{t} GROUP BY 1) AS u)"""
+        )
+        ctes.append(
+            f"""x{t} AS MATERIALIZED (SELECT worker_id, y, {ratio(f'part + {delta}e0', f'spam + {delta * k!r}e0')} AS x FROM (
+              SELECT worker_id, ks.v AS y, sum(CASE WHEN label = ks.v THEN spam ELSE 0e0 END) AS part, sum(spam) AS spam
+              FROM m{t} CROSS JOIN ks GROUP BY 1, 2) AS u)"""
+        )
+    return ",\n".join(ctes)
+
+
 def glad_ctes(ann: str, k: int, rounds: int, steps: int, step_size: float, strength: float = 1.0) -> str:
     """One unreported round, then ``rounds``; ``steps`` fixed-length ascent steps per M-step."""
     prior = f"SELECT v AS z, CASE WHEN v = 1 THEN {0.99 / k + 0.01!r}e0 ELSE {0.99 / k!r}e0 END AS p FROM ks"

@@ -30,7 +30,15 @@ from tallyfold.models.workers import (
 )
 from tallyfold.operators import annotations as A
 from tallyfold.plans import views as V
-from tallyfold.plans.em_sql import ds_ctes, glad_ctes, labels_sql, mace_ctes, zc_ctes
+from tallyfold.plans.em_sql import (
+    ds_ctes,
+    glad_ctes,
+    labels_sql,
+    likelihood_trace_sql,
+    mace_ctes,
+    shrunk_coin_ctes,
+    zc_ctes,
+)
 from tallyfold.plans.fragments import T1, V2, V3, cdf, link
 from tallyfold.plans.registry import query
 from tallyfold.plans.tables import MV_SQL
@@ -228,9 +236,10 @@ def g16(spark, d):
     )
 
 
-@query("g17_stop_rule")
+@query("g17_stop_rule", f"WITH {ds_ctes(T1, 2, 16)} {likelihood_trace_sql(16, 1e-4)}")
 def g17(spark, d):
-    return dawid_skene(V.topic_tasks(spark, d), rounds=30, threshold=1e-4).trace
+    trace = dawid_skene(V.topic_tasks(spark, d), rounds=30, threshold=1e-4).trace
+    return trace.select("iter", "metric", F.round("value", 4).alias("value"))
 
 
 def _topic_inputs(spark, d):
@@ -457,7 +466,10 @@ class BiasedCoin(WorkerModel):
         return params.select("worker_id", "skill")
 
 
-@query("i01_custom_worker_model")
+@query(
+    "i01_custom_worker_model",
+    f"WITH {shrunk_coin_ctes(V2, 2, 2, 0.7, 10.0)} SELECT worker_id, round(c, 6) AS skill FROM c2",
+)
 def i01(spark, d):
     fit = fit_em(V.item_annotations(spark, d), BiasedCoin(), rounds=2, threshold=None)
     return fit.workers.select("worker_id", F.round("skill", 6).alias("skill"))

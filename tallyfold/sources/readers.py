@@ -15,24 +15,34 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """White-space separated text; short and blank lines drop out."""
+    """White-space separated text; blank lines are skipped, a line with too few fields is an error."""
     parts = F.split(F.trim(F.col("value")), r"\s+")
     lines = spark.read.text(path)
     folders = [c for c in lines.columns if c != "value"]
-    rows = lines.select(parts.alias("p"), F.col("_metadata.file_name").alias("file"), *folders)
-    rows = rows.filter(F.size("p") >= len(names))
+    short = F.raise_error(F.concat(F.lit(f"fewer than {len(names)} fields: "), F.col("value")))
+    whole = F.when(F.size(parts) >= len(names), parts).otherwise(short)
+    rows = lines.filter(F.trim("value") != "").select(
+        whole.alias("p"), F.col("_metadata.file_name").alias("file"), *folders
+    )
     return rows.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)], "file", *folders)
 
 
-def _judgements(rows: DataFrame) -> DataFrame:
-    """Numeric labels only, which also removes a header line."""
-    gold, label = F.try_to_number("gold", F.lit("S99999")), F.try_to_number("label", F.lit("S99999"))
-    typed = rows.withColumn("gold", gold.cast("int")).withColumn("label", label.cast("int"))
-    return typed.filter(F.col("gold").isNotNull() & F.col("label").isNotNull()).drop("file")
+def _judgements(rows: DataFrame, header: bool = False) -> DataFrame:
+    """Integer labels; anything else is an error.
+
+    With ``header`` a line without a digit in either label field is the header line and is skipped.
+    """
+    if header:
+        rows = rows.filter(F.col("gold").rlike(r"\d") | F.col("label").rlike(r"\d"))
+    for name in ("gold", "label"):
+        value = F.col(name).try_cast("int")
+        wrong = F.raise_error(F.concat(F.lit(f"{name} is not an integer: "), F.col(name)))
+        rows = rows.withColumn(name, F.when(value.isNotNull(), value).otherwise(wrong))
+    return rows.drop("file")
 
 
 def read_judgements_2010(spark: SparkSession, path: str) -> DataFrame:
-    return _judgements(_fields(spark, path, ["topic_id", "worker_id", "doc_id", "gold", "label"]))
+    return _judgements(_fields(spark, path, ["topic_id", "worker_id", "doc_id", "gold", "label"]), header=True)
 
 
 def read_judgements_2011(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +70,16 @@ def read_corpus_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """Colon-separated topics in Latin-1: field 0 is the id, field 2 the query."""
+    """Colon-separated topics in Latin-1: field 0 is the id, field 2 the query.
+
+    Blank lines are skipped; a line with fewer than three fields is an error.
+    """
     lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").csv(path, schema="value string")
     parts = F.split("value", ":")
-    return lines.filter(F.size(parts) >= 3).select(
-        F.trim(parts[0]).alias("topic_id"), F.trim(parts[2]).alias("text")
+    short = F.raise_error(F.concat(F.lit("fewer than 3 fields: "), F.col("value")))
+    whole = F.when(F.size(parts) >= 3, parts).otherwise(short)
+    return lines.filter(F.trim("value") != "").select(
+        F.trim(whole[0]).alias("topic_id"), F.trim(whole[2]).alias("text")
     )
 
 

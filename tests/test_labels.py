@@ -96,12 +96,44 @@ def test_competence_recovers_known_accuracy(spark, items):
     assert out.workers.join(truth, "worker_id").agg(F.corr("ref", "competence")).first()[0] > 0.95
 
 
-def test_split_hot_keys_give_the_same_answer(spark, items):
-    plain = dawid_skene(items, rounds=2, threshold=None)
-    split = dawid_skene(items, rounds=2, threshold=None, rows_per_part=20)
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """One task and one worker with most of the labels."""
+    rows = [("hot", w, int(w % 4 != 0)) for w in range(60)] + [(f"t{i}", 1, i % 2) for i in range(60)]
+    rows += [(f"t{i}", 2 + i % 7, (i + i % 3 // 2) % 2) for i in range(60)]
+    return spark.createDataFrame(rows, "task_id string, worker_id int, label int").distinct().persist()
+
+
+FITS = {
+    "ds": lambda a, n: dawid_skene(a, rounds=2, threshold=None, rows_per_part=n),
+    "zc": lambda a, n: one_coin(a, rounds=2, threshold=None, rows_per_part=n),
+    "mace": lambda a, n: mace(a, rounds=2, rows_per_part=n),
+    "glad": lambda a, n: glad(a, rounds=1, threshold=None, inner_steps=1, step_size=0.5, rows_per_part=n),
+}
+
+
+@pytest.mark.parametrize("name", FITS)
+def test_split_hot_keys_give_the_same_answer(spark, crowded, name):
+    plain, split = FITS[name](crowded, 10**6), FITS[name](crowded, 20)
     both = plain.labels.alias("a").join(split.labels.alias("b"), "task_id")
     assert both.filter(F.abs(F.col("a.score") - F.col("b.score")) > 1e-9).count() == 0
-    assert both.count() == plain.labels.count()
+    assert both.count() == plain.labels.count() == 61
+
+
+def test_labels_outside_the_list_are_an_error(spark):
+    ann = table(spark, [("a", 1, 1), ("a", 2, 0), ("b", 1, 2), ("b", 2, 1)])
+    with pytest.raises(Exception, match="label not among"):
+        dawid_skene(ann, labels=[0, 1], rounds=1, threshold=None).labels.collect()
+    with pytest.raises(ValueError, match="rounds"):
+        dawid_skene(ann, rounds=0)
+
+
+def test_parameter_error_of_a_table_against_itself_is_zero(spark, items):
+    from tallyfold.models.em import param_metrics
+
+    for fit, name in ((dawid_skene(items, rounds=1, threshold=None), "p"), (mace(items, rounds=1), "strategy")):
+        ref = fit.workers.withColumnRenamed(name, "ref")
+        assert param_metrics(1, fit.workers, {name: ref}) == [(1, f"{name}_mse", 0.0)]
 
 
 def test_partition_count_does_not_matter(spark, items):

@@ -4,6 +4,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions import mathx, textx
@@ -31,7 +32,6 @@ def test_auc_ties_and_blocks(spark):
     pos, neg = [s for g, _, s in rows if g], [s for g, _, s in rows if not g]
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert math.isclose(E.auc(df).first()["auc"], want)
-    assert math.isclose(E.auc(df, max_rows=3).first()["auc"], want)
 
 
 def test_undefined_scores_are_zero(spark):
@@ -56,11 +56,32 @@ def test_kendall_tau_matches_all_pairs(spark, blocks):
 def test_row_numbers_agree_when_groups_are_cut(spark):
     df = spark.range(500).select(F.when(F.col("id") < 350, 0).otherwise(F.col("id") % 5).alias("k"), "id")
     order = [(F.col("id") * 7919 % 503).desc(), F.col("id")]
-    whole = {tuple(r) for r in R.row_numbers(df, ["k"], order).select("k", "id", "rn").collect()}
-    cut = {tuple(r) for r in R.row_numbers(df, ["k"], order, max_group_rows=10).select("k", "id", "rn").collect()}
+    window = Window.partitionBy("k").orderBy(*order)
+    whole = {tuple(r) for r in df.withColumn("rn", F.row_number().over(window)).select("k", "id", "rn").collect()}
+    cut = {tuple(r) for r in R.row_numbers(df, ["k"], order).select("k", "id", "rn").collect()}
     assert whole == cut and len(cut) == 500
 
 
+def test_rows_with_null_keys_stay(spark):
+    df = spark.range(40).select(F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("k"), "id")
+    got = R.row_numbers(df, ["k"], [F.col("id")]).collect()
+    assert len(got) == 40 and sorted(r["rn"] for r in got if r["k"] is None) == list(range(1, 21))
+    assert R.row_numbers(df, [], [F.col("id")]).agg(F.max("rn")).first()[0] == 40
+    half = R.top_fraction(df, ["k"], [F.col("id")], 0.5).collect()
+    assert len(half) == 20 and sum(r["k"] is None for r in half) == 10
+    small = spark.createDataFrame([(0, "a"), (2, "b"), (None, "n")], "k long, x string")
+    joined = skew.skew_safe_join(df, small, "k", "id", rows_per_part=5)
+    assert joined.count() == 40 and joined.filter("x = 'n'").count() == 20
+
+
+def test_heavy_points_in_kendall_tau(spark):
+    """Products of weights beyond 2**53 stay exact."""
+    import numpy as np
+
+    weight = np.array([2**31 + 1, 2**31 + 3], dtype="int64")
+    assert E._weighted_inversions(np.array([1, 0]), weight) == (2**31 + 1) * (2**31 + 3)
+
+
 def test_skew_safe_join_equals_join(spark):
     big = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("v"))
     small = spark.range(9).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("x"))
@@ -166,6 +187,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "j10").write_text("topic worker doc gold label\n1 w d1 2 0\n 1  w2 d2 -1 1\n\n")
     rows = readers.read_judgements_2010(spark, str(tmp_path / "j10")).collect()
     assert [(r["worker_id"], r["gold"], r["label"]) for r in rows] == [("w", 2, 0), ("w2", -1, 1)]
+    (tmp_path / "wide").write_text("1 w d1 123456 1\n")
+    assert readers.read_judgements_2010(spark, str(tmp_path / "wide")).first()["gold"] == 123456
+    for n, line in enumerate(("1 w d1 2 high\n", "1 w d1 2\n")):
+        (tmp_path / f"bad{n}").write_text(line)
+        with pytest.raises(Exception, match="not an integer|fewer than 5 fields"):
+            readers.read_judgements_2010(spark, str(tmp_path / f"bad{n}")).collect()
     (tmp_path / "j11").write_text("1 s1 w d1 2 0\n")
     assert readers.read_judgements_2011(spark, str(tmp_path / "j11")).first()["assignment_id"] == "s1"
     corpus = tmp_path / "corpus" / "x"
@@ -209,16 +236,45 @@ def test_matrix_round_trip(spark):
     assert {tuple(r) for r in back.collect()} == {("a", "1", 1), ("a", "2", 0), ("b", "2", 1)}
 
 
-def test_scratch_uses_the_configured_folder(spark, tmp_path):
+class _Session:
+    """As much of a session as the folder rule reads."""
+
+    def __init__(self, master, folder=None):
+        self.conf = self
+        self.sparkContext = self
+        self.master, self.folder = master, folder
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_uses_the_configured_folder():
     from tallyfold.session import shared_dir
 
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        configured = shared_dir(spark)
-    except Exception:
-        pytest.skip("setting is fixed at start-up")
-    finally:
-        if old is None:
-            spark.conf.unset("spark.checkpoint.dir")
-    assert configured == str(tmp_path)
+    assert shared_dir(_Session("spark://host:1", "hdfs://x/shared/")) == "hdfs://x/shared"
+    for master in ("spark://host:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(_Session(master))
+
+
+def test_feature_sets_of_uneven_width_are_an_error(spark):
+    tasks = spark.createDataFrame([("t", "d")], "topic_id string, doc_id string")
+    ragged = spark.createDataFrame(
+        [("t", "d", [1.0, 2.0]), ("t", "e", [1.0])], "topic_id string, doc_id string, v array<double>"
+    )
+    with pytest.raises(ValueError, match="1 to 2 values"):
+        FE.attach_features(tasks, [("lexical", ragged)])
+
+
+def test_feature_map_limit_holds_for_linear_layouts(spark):
+    from tallyfold.models.probit import feature_map
+
+    rows = spark.createDataFrame([("a", [0.0])], "task_id string, features array<double>")
+    with pytest.raises(ValueError, match="the limit is 512"):
+        feature_map(rows, {"linear": list(range(2000))})
