@@ -14,7 +14,7 @@ Counts come from every training row, and none is sent to the driver:
 2. A range adds up the training counts of all parts and answers every part with the totals in the order
    it asked.  Frequent n-grams arrive once per part, so no word makes a hot task.
 3. Each part, joined with its answers, builds the automaton of its own n-grams (all that its texts can
-   reach) and walks its texts in step, one word per text and round.
+   reach) and walks its texts from left to right in step, one word per text (a long one: per lane) and round.
 
 Null text: only the end token.  Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.  A null
 id reads '' in the split.  Repeated rows count and are scored each.  With no training rows N = V = 0 and
@@ -39,6 +39,7 @@ END, START = U64(0x9AE16A3B2F90404F), U64(0xC2B2AE3D27D4EB4F)
 _STEP = U64(0x9E3779B97F4A7C15)
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 PIECE = 1 << 20
+LANE = 256
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +137,7 @@ def _walk(doc, grams, counts, n_texts, n_starts, total, distinct, mu):
     order = len(grams)
     n = len(doc)
     z = np.log10(total + 0.5 * (distinct + 1))
-    token = grams[0][1]
     c1 = counts[0]
-    n_tokens_kinds = len(grams[0][0])
     # states
     n_states = 2
     state_of = []
@@ -162,64 +161,53 @@ def _walk(doc, grams, counts, n_texts, n_starts, total, distinct, mu):
     first[1:] = doc[1:] != doc[:-1]
     weight_prev = np.where(c1 > 0, np.log10(np.maximum(c1, 1) + 0.5) - z, 0.0)
     prob_prev = np.where(c1 > 0, (c1 + 0.5), 0.5) / (total + 0.5 * (distinct + 1))
-    arc_state, arc_token, arc_to, arc_w = [], [], [], []
-    known = np.flatnonzero(c1 > 0)
-    arc_state.append(np.zeros(len(known), np.int64))
-    arc_token.append(known)
-    arc_to.append(state_of[0][known] if order > 1 else np.zeros(len(known), np.int64))
-    arc_w.append(weight_prev[known])
+    # arcs are addressed by n-gram: the arc of a state of depth d for a token is the n-gram of d + 1 tokens
+    # that ends there; weight NaN: no such arc
+    known = counts[0] > 0
+    depth = np.zeros(n_states, np.int64)
+    weights = [np.where(known, weight_prev, np.nan)]
+    targets = [np.where(known, state_of[0][:-1], 0) if order > 1 else np.zeros(len(known), np.int64)]
+    if order > 1:
+        depth[1] = 1
+        depth[state_of[0][:-1][known]] = 1
+        fail_w[state_of[0][:-1][known]] = np.log10(mu / (counts[0][known] + mu))
     for k in range(1, order):
         ex = example[k]
         at_start = first[ex]
         before = np.where(at_start, 0, ex - 1)
         hist = grams[k - 1][1][before]
         c_hist = np.where(at_start, n_starts if k == 1 else 0, counts[k - 1][np.maximum(hist, 0)] if len(counts[k - 1]) else 0)
-        lower = prob_prev[grams[k - 1][1][ex]]
-        prob = (counts[k] + mu * lower) / (c_hist + mu)
-        known = np.flatnonzero(counts[k] > 0)
-        state = np.where(at_start, 1, state_of[k - 1][np.maximum(hist, 0)])[known]
+        shorter = grams[k - 1][1][ex]
+        prob = (counts[k] + mu * prob_prev[shorter]) / (c_hist + mu)
+        known = counts[k] > 0
+        short_state = np.maximum(state_of[k - 1][shorter], 0)
         if k < order - 1:
-            fail_w[state_of[k][known]] = np.log10(mu / (counts[k][known] + mu))
-            short = state_of[k - 1][grams[k - 1][1][ex[known]]]
-            fail[state_of[k][known]] = np.maximum(short, 0)
-            to = state_of[k][known]
+            own = state_of[k][:-1][known]
+            depth[own] = k + 1
+            fail_w[own] = np.log10(mu / (counts[k][known] + mu))
+            fail[own] = short_state[known]
+            targets.append(np.where(known, state_of[k][:-1], 0))
         else:
-            to = np.maximum(state_of[k - 1][grams[k - 1][1][ex[known]]], 0)
-        arc_state.append(state)
-        arc_token.append(token[ex[known]])
-        arc_to.append(to)
-        arc_w.append(np.log10(prob[known]))
+            targets.append(np.where(known, short_state, 0))
+        weights.append(np.where(known, np.log10(prob), np.nan))
         prob_prev = prob
-    if order > 1:
-        seen = np.flatnonzero(counts[0] > 0)
-        fail_w[state_of[0][seen]] = np.log10(mu / (counts[0][seen] + mu))
-    arc_key = np.concatenate(arc_state) * n_tokens_kinds + np.concatenate(arc_token)
-    by = np.argsort(arc_key, kind="stable")
-    arc_key, arc_to, arc_w = arc_key[by], np.concatenate(arc_to)[by], np.concatenate(arc_w)[by]
+    base = np.concatenate([[0], np.cumsum([len(w) + 1 for w in weights])])[:-1]
+    weight = np.concatenate([np.append(w, np.nan) for w in weights])
+    target = np.concatenate([np.append(t, 0) for t in targets])
+    arc = np.stack([base[k] + np.where(grams[k][1] >= 0, grams[k][1], len(grams[k][0])) for k in range(order)])
     unknown = np.log10(0.5) - z
-    # the walk: texts by falling length, one token of each per round
-    start = np.searchsorted(doc, np.arange(n_texts + 1))
-    size = np.diff(start)
-    line = np.argsort(-size, kind="stable")
-    size, begin = size[line], start[:-1][line]
-    state = np.full(n_texts, 1 if order > 1 else 0, np.int64)
-    score = np.zeros(n_texts)
-    alive = np.searchsorted(-size, -np.arange(int(size.max()) if n_texts else 0), "left")
-    for t in range(len(alive)):
-        m = int(alive[t])
-        w = token[begin[:m] + t]
-        s = state[:m]
-        todo = np.arange(m)
-        to = np.zeros(m, np.int64)
-        gain = np.zeros(m)
+
+    def step(s, at):
+        """Log probability and next state of the tokens ``at`` read in the states ``s``."""
+        gain, to = np.zeros(len(s)), np.zeros(len(s), np.int64)
+        todo = np.arange(len(s))
         for _ in range(order + 1):
-            key = s[todo] * n_tokens_kinds + w[todo]
-            at = np.searchsorted(arc_key, key)
-            hit = at < len(arc_key)
-            hit[hit] = arc_key[at[hit]] == key[hit]
+            a = arc[depth[s[todo]], at[todo]]
+            w = weight[a]
+            hit = ~np.isnan(w)
             got = todo[hit]
-            gain[got] += arc_w[at[hit]]
-            to[got] = arc_to[at[hit]]
+            gain[got] += w[hit]
+            to[got] = target[a[hit]]
             todo = todo[~hit]
             root = s[todo] == 0
             gain[todo[root]] += unknown
@@ -229,11 +217,29 @@ def _walk(doc, grams, counts, n_texts, n_starts, total, distinct, mu):
             gain[todo] += fail_w[s[todo]]
             s = s.copy()
             s[todo] = fail[s[todo]]
+        return gain, to
+
+    # Texts are walked in lanes of LANE tokens, one token of each lane per round.  A later lane starts in the
+    # state its text is in there: reading the order - 1 tokens before it from the empty history finds it.
+    start = np.searchsorted(doc, np.arange(n_texts + 1))
+    size = np.diff(start)
+    per = -(-size // LANE)
+    text = np.repeat(np.arange(n_texts), per)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    begin = start[:-1][text] + nth * LANE
+    length = np.minimum(start[1:][text] - begin, LANE)
+    line = np.argsort(-length, kind="stable")
+    text, nth, begin, length = text[line], nth[line], begin[line], length[line]
+    state = np.where(nth == 0, 1 if order > 1 else 0, 0)
+    later = np.flatnonzero(nth > 0)
+    for back in range(order - 1, 0, -1):
+        _, state[later] = step(state[later], begin[later] - back)
+    score = np.zeros(len(text))
+    for t in range(int(length.max()) if len(length) else 0):
+        m = int(np.searchsorted(-length, -t, "left"))
+        gain, state[:m] = step(state[:m], begin[:m] + t)
         score[:m] += gain
-        state[:m] = to
-    out = np.zeros(n_texts)
-    out[line] = score
-    return out
+    return np.bincount(text, weights=score, minlength=n_texts)
 
 
 def score_texts(
