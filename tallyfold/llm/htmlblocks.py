@@ -5,12 +5,12 @@ all ancestors) and the block's words, both hashed into fixed vectors.  A bidirec
 the whole sequence and labels every block as article or not, so a block is judged with the rest of the
 page in view.  It is trained once, on about ``train_pages`` pages picked by hash: a teacher labels their
 blocks from sectioning tags and class words, and each page is also seen with its containers renamed and
-with boilerplate sections mixed in.  Every block of every page is then labelled by the network.
+with boilerplate sections mixed in; ``made`` made-up pages join them.  Every block of every page is then labelled by the network.
 
 Null or empty html gives the empty text.  Character references are decoded, white space inside a block is
 one space, blocks are joined in page order by one newline; nothing else is dropped or capped.  Repeated
-pages are treated alike; an empty table gives none.  Without any block to learn from, the network is
-trained on made-up boilerplate sections alone.
+pages are treated alike; an empty table gives none.  Without any page to learn from, the network is
+trained on the made-up ones alone.
 """
 
 from __future__ import annotations
@@ -309,12 +309,27 @@ def retold(blocks, rng: np.random.Generator):
     return [b for b, _ in out], np.array([g for _, g in out], np.float32)
 
 
-def _fit(table: pa.Table | None, epochs: int, copies: int):
+def made_up(rng: np.random.Generator):
+    """Blocks of a plain page with random words, so that training has clear cases whatever the sample holds."""
+    letters = "etaoinshrdlu"
+
+    def text(n: int) -> str:
+        words = ["".join(letters[i] for i in rng.integers(0, 12, int(rng.integers(2, 9)))) for _ in range(n)]
+        return " ".join(words).capitalize() + ("." if rng.random() < 0.7 else "")
+
+    root = ("html", "body") if rng.random() < 0.7 else ()
+    blocks = [(text(2), (*root, "nav", "ul", "li", "a"), 1.0) for _ in range(int(rng.integers(0, 5)))]
+    blocks += [(text(int(rng.integers(2, 9))), (*root, "article", "h1"), 0.0)] if rng.random() < 0.6 else []
+    blocks += [(text(int(rng.integers(1, 60))), (*root, "article", "p"), 0.0) for _ in range(int(rng.integers(1, 8)))]
+    blocks += [(text(int(rng.integers(1, 12))), (*root, "footer"), 0.0)] if rng.random() < 0.7 else []
+    return blocks
+
+
+def _fit(table: pa.Table | None, epochs: int, copies: int, made: int):
     rng = np.random.default_rng(11)
     pages, paths = [], {}
     htmls = sorted(h for h in table.column("h").to_pylist() if h) if table is not None else []
-    for h in htmls or ["<html><body><article><p>A plain text of some words stands here.</p></article></body></html>"] * 50:
-        blocks = leaves(h)[:400]
+    for blocks in [*(leaves(h)[:400] for h in htmls), *(made_up(rng) for _ in range(made))]:
         if not blocks:
             continue
         pages.append((vectors(blocks, paths), np.array([teacher(p, t, a) for t, p, a in blocks], np.float32)))
@@ -332,11 +347,12 @@ def extract_text(
     train_pages: int = 250,
     copies: int = 3,
     epochs: int = 6,
+    made: int = 100,
 ) -> DataFrame:
     """``carry`` columns of every page with text, n_chars and n_blocks (all blocks of the page)."""
     n = pages.count()
     sample = pages.filter(below(column(html_col), train_pages / max(1, n), 5)).select(column(html_col).cast("string").alias("h"))
-    model = fit_once(sample.distinct(), lambda t: _fit(t, epochs, copies)) or _fit(None, epochs, copies)
+    model = fit_once(sample.distinct(), lambda t: _fit(t, epochs, copies, made)) or _fit(None, epochs, copies, made)
 
     def extract(htmls):
         paths: dict = {}
