@@ -2,17 +2,19 @@
 
 1. One pass makes, per text, the fingerprint of its set of distinct word shingles, ``bands`` * ``rows``
    minimum hashes (one byte of each is kept for comparing) and the band keys.  Equal sets are one node.
-2. Star rounds: in a band bucket all nodes are compared with one centre, each node with the centre it
-   shares most buckets with.  That is linear in the bucket and joins most of a large group.
+2. Star rounds: in a band bucket all nodes are compared with one centre, the node that meets most others,
+   and each node only with the centre it shares most buckets with.  That is linear in the bucket and joins
+   most of a large group, whose least edited member is its natural centre.
 3. Exhaustive round: in buckets that still hold several components, the nodes outside the bucket's largest
    component are compared with all nodes of other components, block by block, so a bucket of any size is
-   spread over tasks and no list of all pairs is ever made.
+   spread over tasks and no list of all pairs is ever made.  Here ``more`` further minimum hashes of the
+   nodes concerned make the test sharp enough to leave few pairs below the threshold.
 4. Comparing reads the signatures in batches.  After each batch the posterior of the similarity (uniform
    prior) is looked up, and a pair is dropped once the chance of the threshold is below ``miss``.
 5. Survivors are verified on the full shingle sets of their whole texts.  Links within a component found
    earlier need no proof: they cannot change the answer.
 
-A pair at the threshold 0.85 shares a band but for (1 - 0.85**5)**32 = 7e-9.  Null or wordless texts are
+A pair at the threshold 0.85 shares a band but for (1 - 0.85**5)**32 = 7e-9; a batch drops it with a chance below ``miss``.  Null or wordless texts are
 linked with nothing and are their own component.  Every row is judged by its own text, so all rows of the
 smallest id of a component are kept; a null id loses to any other.  An empty table gives an empty result.
 """
@@ -80,21 +82,36 @@ def survivors(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray,
     return alive
 
 
-def _signer(size: int, bands: int, rows: int):
-    rng = np.random.default_rng(3)
-    mult = rng.integers(1, 1 << 32, (2, bands * rows), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+def _minima(n: int, count: np.ndarray, g: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k minimum hashes of each of n sets, given one after the other; an empty set has zeros."""
+    mult = np.random.default_rng(seed).integers(1, 1 << 32, (2, k), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    full = np.flatnonzero(count)
+    start = (np.cumsum(count) - count)[full]
+    sig = np.zeros((n, k), np.uint32)
+    if len(full):
+        lo, hi = g.astype(np.uint32), (g >> U64(32)).astype(np.uint32)
+        for j in range(k):
+            sig[full, j] = np.minimum.reduceat(lo * mult[0, j] + hi * mult[1, j], start)
+    return sig
+
+
+def _lengthener(size: int, k: int):
+    def sign(texts):
+        doc, g = shingle_sets(texts, size)
+        n = len(texts)
+        return [pa.array([bytes(x) for x in _minima(n, per_text(doc, n), g, k, 4).astype(np.uint8)], pa.binary())]
 
+    return sign
+
+
+def _signer(size: int, bands: int, rows: int):
     def sign(texts):
         n = len(texts)
         doc, g = shingle_sets(texts, size)
         count = per_text(doc, n)
         full = np.flatnonzero(count)
         start = (np.cumsum(count) - count)[full]
-        sig = np.zeros((n, bands * rows), np.uint32)
-        if len(full):
-            lo, hi = g.astype(np.uint32), (g >> U64(32)).astype(np.uint32)
-            for j in range(bands * rows):
-                sig[full, j] = np.minimum.reduceat(lo * mult[0, j] + hi * mult[1, j], start)
+        sig = _minima(n, count, g, bands * rows, 3)
         keys = np.zeros((n, bands), U64)
         for r in range(rows):
             keys = mix(keys * U64(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(U64) + np.arange(bands, dtype=U64))
@@ -228,7 +245,8 @@ def near_duplicates(
     percent: int = 85,
     bands: int = 32,
     rows: int = 5,
-    miss: float = 1e-9,
+    more: int = 512,
+    miss: float = 1e-7,
     star_rounds: int = 2,
     mark: bool = False,
 ) -> DataFrame:
@@ -252,23 +270,34 @@ def near_duplicates(
     live = scratch.cut(banded.join(shared, "key"), "buckets")
     wanted = live.select("nid").distinct().join(nodes.select("nid", "rep"), "nid")
     texts = scratch.cut(_texts(src, wanted), "texts")
-    links = None
+    # how many nodes a node meets in its buckets: the best of a bucket is its centre
+    size_of = live.groupBy("key").count()
+    met = live.join(size_of, "key").groupBy("nid").agg(F.sum("count").alias("met"))
+    live = scratch.cut(live.join(met, "nid").select("key", "nid", "met"), "met")
+    links = tried = None
     for turn in range(star_rounds + 1):
         if turn:
-            live = _undecided(live, scratch.cut(components(links, scratch), "roots") if links is not None else None)
-            live = scratch.cut(live, "undecided")
+            live = scratch.cut(_undecided(live, scratch.cut(components(links, scratch), "roots")), "undecided")
+        else:
+            live = live.withColumn("root", F.col("nid"))
         if live.isEmpty():
             break
         if turn < star_rounds:
-            centre = F.min("nid") if turn % 2 == 0 else F.max("nid")
-            star = live.join(live.groupBy("key").agg(centre.alias("c")), "key").filter("nid <> c")
-            if turn:
-                heads = live.select("key", F.col("nid").alias("c"), F.col("root").alias("c_root"))
-                star = star.join(heads, ["key", "c"]).filter("root <> c_root")
-            star = star.groupBy("nid", "c").count().groupBy("nid").agg(F.max(F.struct("count", "c")).alias("best"))
-            pairs = _compare_pairs(star.select(F.col("best.c").alias("a"), F.col("nid").alias("b")), nodes.select("nid", "sig"), needed)
+            centre = live.groupBy("key").agg(F.max(F.struct("met", "nid", "root")).alias("c"))
+            star = live.join(centre, "key").filter("root <> c.root").select(F.col("c.nid").alias("a"), F.col("nid").alias("b"))
+            star = star.groupBy("a", "b").count()
+            if tried is not None:
+                star = star.join(tried, ["a", "b"], "left_anti")
+            best = star.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+            best = scratch.cut(best, "star")
+            tried = best if tried is None else tried.unionByName(best)
+            pairs = _compare_pairs(best, nodes.select("nid", "sig"), needed)
         else:
-            pairs = _blocks(live.join(nodes.select("nid", "sig"), "nid"), needed)
+            held = texts.join(live.select("nid").distinct(), "nid", "left_semi")
+            longer = map_rows(held, ["t"], [("rest", "binary")], _lengthener(size, more), ["nid"])
+            longer = longer.join(nodes.select("nid", "sig"), "nid").select("nid", F.concat("sig", "rest").alias("sig"))
+            sharp = [least_matches(k, percent / 100, miss) for k in range(BATCH, bands * rows + more + 1, BATCH)]
+            pairs = _blocks(live.join(scratch.cut(longer, "longer"), "nid"), sharp)
         pairs = scratch.cut(pairs, "survivors")
         found = scratch.cut(_verify(pairs, texts, size, percent), "verified")
         links = found if links is None else scratch.cut(links.unionByName(found).distinct(), "links")
@@ -306,11 +335,9 @@ def _texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["nid"])
 
 
-def _undecided(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _undecided(live: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold several components, with their roots."""
-    live = live.select("key", "nid")
-    if roots is None:
-        return live.withColumn("root", F.col("nid"))
-    live = live.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("root"))
+    live = live.drop("root").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    live = live.select("key", "nid", "met", F.coalesce("root", "nid").alias("root"))
     mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     return live.join(mixed, "key")
