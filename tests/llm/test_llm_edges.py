@@ -1,0 +1,195 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import pytest
+from pyspark.sql import functions as F
+
+LONG = " ".join(f"word{i * 7919 % 10007}" for i in range(60_000))
+ROWS = [
+    (1, "the cat sat on the mat and looked at the dog " * 3, "en", "web", 120),
+    (2, "the cat sat on the mat and looked at the dog " * 3, "en", "web", 120),
+    (2, "the cat sat on the mat and looked at the dog " * 3, "en", "web", 120),
+    (3, "", "fr", None, 0),
+    (4, None, None, None, None),
+    (None, "ein kurzer Satz ohne viel Sinn", "de", "web", 30),
+    (6, "ein kurzer Satz ohne viel Sinn", "de", "web", -5),
+    (7, " \t\n ", None, "web", 4),
+    (8, LONG, "en", "book", len(LONG)),
+    (9, "1234 5678 !!", "en", "web", 12),
+    (10, "ça été là", "fr", "web", 9),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["n_words", "kept", "score", "t", "id", "key", "nid", "part", "i0", "c0", "r0", "spans", "bucket", "place", "th", "sid", "lk", "good"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.select("*", *[F.lit("x").alias(c) for c in CLASH])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+LABELS = [(1, 1, 0), (3, 0, 0), (8, 1, 0), (9, 0, 1), (9, 1, 0), (None, 1, 1), (6, None, None), (77, 1, 0)]
+
+
+def operators(spark):
+    from tallyfold.llm import bwtdedup, cotrain, credentials, decontaminate, language, minhash, ngramlm, packing, repetition
+
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame(
+        [(1, "sat on the mat and looked at the dog the cat sat on the mat"), (2, None), (3, ""), (None, "kurzer satz"), (5, "kurzer Satz")],
+        "item_id long, text string",
+    )
+    even = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0
+    return {
+        "quality": lambda d: cotrain.classify_quality(d, labels),
+        "lm": lambda d: ngramlm.score_texts(d, even),
+        "lm3": lambda d: ngramlm.score_texts(d, even, order=3),
+        "bench": lambda d: decontaminate.decontaminate(d, items),
+        "bench_blocks": lambda d: decontaminate.decontaminate(d, items, block_windows=1),
+        "pack": lambda d: packing.pack(d),
+        "secrets": lambda d: credentials.scan_secrets(d),
+        "rules": lambda d: repetition.quality_rules(d),
+        "near": lambda d: minhash.near_duplicates(d),
+        "language": lambda d: language.identify_language(d, even),
+        "repeats": lambda d: bwtdedup.remove_repeats(d),
+    }
+
+
+NAMES = "quality lm lm3 bench bench_blocks pack secrets rules near language repeats".split()
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_row_once_whatever_the_columns(spark, docs, clashing, name):
+    op = operators(spark)[name]
+    plain = rows_of(op(docs))
+    assert len(plain) == len(ROWS)
+    assert sorted((r[0] for r in plain), key=repr) == sorted((r[0] for r in ROWS), key=repr)
+    assert rows_of(op(clashing)) == plain
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_table(spark, empty, name):
+    assert operators(spark)[name](empty).count() == 0
+
+
+def test_values_of_odd_rows(spark, docs):
+    ops = operators(spark)
+    bench = {r.doc_id: r for r in ops["bench"](docs).collect() if r.doc_id is not None}
+    assert bench[4].n_words == bench[3].n_words == bench[7].n_words == 0 and not bench[4].contaminated
+    assert bench[1].contaminated and bench[6].n_items == 2 and bench[6].n_hit == 2
+    assert rows_of(ops["bench"](docs)) == rows_of(ops["bench_blocks"](docs))
+    near = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in ops["near"](docs).collect()}
+    assert {(4, 0, 4, True), (3, 0, 3, True), (7, 0, 7, True), (6, 4, 6, True), (None, 4, 6, False)} <= near
+    assert {(d, c, k) for d, _, c, k in near if d in (1, 2)} == {(1, 1, True), (2, 1, False)}
+    lang = {r.doc_id: r for r in ops["language"](docs).collect()}
+    assert all(lang[d].lang_pred == "und" and lang[d].score == 0 for d in (3, 4, 7, 9))
+    rules = {r.doc_id: r for r in ops["rules"](docs).collect()}
+    assert rules[4].n_words == 0 and rules[4].base_failed and not rules[4].kept
+    assert rules[8].n_words == 60_000
+    lm = {r.doc_id: r for r in ops["lm"](docs).collect()}
+    assert lm[4].n_tokens == 1 and lm[8].n_tokens == 60_001
+
+
+def test_odd_pages(spark):
+    from tallyfold.llm.htmlblocks import extract_text
+
+    rows = [
+        (1, "u", None), (2, "u", ""), (3, None, "<p>"), (4, "u", "plain < text & more &amp; so on, a sentence of some length."),
+        (5, "u", "<article><p>One &eacute;t&eacute;<p>Two\n\t words</article><footer>foot</footer>"),
+        (5, "u", "<article><p>One &eacute;t&eacute;<p>Two\n\t words</article><footer>foot</footer>"),
+        (6, "u", "<main><p>" + "long text here " * 20_000 + "</p></main>"),
+        (7, "u", "<article><p>First part of it.</p><div class='comments'><p>I disagree with you.</p></div></article>"
+                 "<aside><p>Read more of our work.</p></aside><script>var a = '<p>x</p>'</script>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in extract_text(pages.withColumn("text", F.lit(1)).withColumn("r0", F.lit(2))).collect()}
+    assert got[1].text == got[2].text == got[3].text == "" and got[1].n_chars == 0
+    assert got[5].text == "One été\nTwo words"
+    assert got[6].n_chars == 20_000 * 15 - 1
+    assert got[7].text == "First part of it."
+    assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_weak_parts_need_a_partner():
+    from tallyfold.llm.credentials import base_spans, linked, weak_parts
+
+    def kinds(t):
+        b = base_spans(t)
+        return [k for _, k, _ in linked(t, b, weak_parts(t, b), 200)]
+
+    assert kinds("see https://host.example/login for more") == []
+    assert kinds("user: alice\npassword = hunter2hunter2\nhttps://host.example/db") == [3, 5]
+    assert kinds("user: alice\n\n" + "x " * 10 + "password = hunter2hunter2") == []
+    assert kinds("key aB3dE5fG7hJ9kL1mN3pQ5 alone") == []
+    assert kinds("key aB3dE5fG7hJ9kL1mN3pQ5 at 10.0.0.1:5432") == [4, 5]
+
+
+def test_redaction_masks_and_updates_size(spark):
+    from tallyfold.llm.credentials import redact
+
+    rows = [(1, "password=abcdefgh12 end", 5), (2, "nothing", 5), (3, None, 5), (4, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("changed", F.lit(0))
+    out = {r.doc_id: (r.text, r.n_chars) for r in redact(df, size_col="n_chars").collect()}
+    assert out == {1: ("[SECRET] end", 12), 2: ("nothing", 5), 3: (None, 5), 4: ("", None)}
+    assert redact(df).columns == df.columns
+
+
+def test_near_duplicate_rounds_agree(spark):
+    """A large group of near copies: star rounds, blocks of several tasks and brute force give one answer."""
+    import random
+
+    from tallyfold.llm import minhash
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = minhash.BLOCK_ROWS
+    minhash.BLOCK_ROWS = 16
+    try:
+        for star_rounds in (2, 0):
+            got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, star_rounds=star_rounds).collect()}
+            assert got == {i: find(i) for i in range(len(texts))}
+    finally:
+        minhash.BLOCK_ROWS = old
+
+
+def test_posterior_bound_keeps_pairs_at_the_threshold():
+    from math import comb
+
+    from tallyfold.llm.minhash import least_matches
+
+    for n in (32, 64, 160):
+        m = least_matches(n, 0.85, 1e-9)
+        lost = sum(comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(m))
+        assert 0 < m < n and lost < 1e-7

@@ -1,0 +1,225 @@
+"""Registered text queries: against SQL where there is some, else against brute force or held-out labels."""
+
+import collections
+import hashlib
+import html
+import math
+import re
+import zlib
+
+import pytest
+
+import __spark_entry__ as entry
+from compare import differences, duck
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op7_quality_rules", "op8_near_duplicates"])
+def test_query_matches_sql(spark, con, name):
+    assert differences(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) is None
+
+
+def test_quality_classifier_agrees_with_labels(spark):
+    got = {r.doc_id: r for r in entry.queries()["op1_classify_quality"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 1000
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    right = sum(got[r.doc_id].kept == (r.quality == 1 and r.toxic == 0) for r in labels)
+    assert right / len(labels) > 0.93
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_html_is_the_article(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in entry.queries()["op2_extract_html"](spark, SF).collect():
+        body = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.DOTALL).group(1)
+        parts = [re.sub(r"<[^>]+>", "", p.replace("<br>", " ")) for p in re.split(r"</?(?:p|h1)>", body)]
+        parts = [" ".join(html.unescape(p).split()) for p in parts]
+        assert r.text == "\n".join(p for p in parts if p)
+        assert r.n_chars == len(r.text)
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
+
+
+def test_lm_scores_match_the_smoothing_formula(spark, documents):
+    mu = 100.0
+    learn = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
+    one, two, starts = collections.Counter(), collections.Counter(), 0
+    for r in documents:
+        if learn(r.doc_id):
+            t = [*words(r.text), "</s>"]
+            starts += 1
+            one.update(t)
+            two.update(zip([None, *t], t))
+    n, v = sum(one.values()), len(one)
+    z = n + 0.5 * (v + 1)
+    rows = {r.doc_id: r for r in entry.queries()["op3_score_texts"](spark, SF).collect()}
+    assert len(rows) == len(documents)
+    for r in documents:
+        t = [*words(r.text), "</s>"]
+        base = sum(math.log10((one[w] + 0.5) / z) for w in t)
+        score = 0.0
+        for h, w in zip([None, *t], t):
+            c = starts if h is None else one[h]
+            score += math.log10((two[h, w] + mu * (one[w] + 0.5) / z) / (c + mu))
+        got = rows[r.doc_id]
+        assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (
+            not learn(r.doc_id), len(t), sum(one[w] > 0 for w in t), n,
+        )
+        assert math.isclose(got.base_score, base, rel_tol=1e-9) and math.isclose(got.score, score, rel_tol=1e-9)
+
+
+def test_secret_scan_base_matches_plain_patterns(spark, documents):
+    assign = re.compile(
+        r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+        r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    )
+    rows = {r.doc_id: r for r in entry.queries()["op6_scan_secrets"](spark, SF).collect()}
+    total = 0
+    for r in documents:
+        t = r.text or ""
+        found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(t) if len(m.group(2)) >= 8]
+        found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m.group()) >= 16]
+        found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", t) if len(m.group()) >= 32]
+        want = [s for _, _, s in sorted(found)]
+        got = rows[r.doc_id]
+        assert got.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(got.spans.split(",")) or not want
+        assert [got.n_assign, got.n_access, got.n_hex] == [sum(k == j for _, k, _ in found) for j in range(3)]
+        total += len(want)
+    assert total > 0
+
+
+def test_language_held_out_accuracy(spark, documents):
+    lang = {r.doc_id: r.lang for r in documents}
+    rows = entry.queries()["op9_identify_language"](spark, SF).collect()
+    assert len(rows) == len(documents)
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
+
+
+def repeats(rows, length):
+    seen = collections.Counter()
+    texts = [(t or "").encode() for _, t in rows]
+    for b in texts:
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for (d, _), b in zip(rows, texts):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeated_substrings_match_brute_force(spark, documents):
+    got = entry.queries()["op10_remove_repeats"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=repr) == repeats([(r.doc_id, r.text) for r in documents], 200)
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_repeated_substrings_in_awkward_texts(spark, hot):
+    from tallyfold.llm.bwtdedup import remove_repeats
+
+    block = "".join(chr(97 + (i * i + 3 * i) % 23) for i in range(300))
+    rows = [
+        (1, "x" * 700), (2, "ab" * 300), (3, block + "left"), (4, "right" + block), (5, None), (6, ""), (7, block[:199]),
+        (8, "é" * 150 + block[50:260]), (9, "same text " * 30), (9, "same text " * 30), (None, block[:250] + "é" * 100),
+    ]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    assert sorted(map(tuple, got), key=repr) == repeats(rows, 200)
+
+
+def test_best_bounds_are_optimal():
+    import itertools
+    import random
+
+    from tallyfold.llm.packing import best_bounds
+
+    rng = random.Random(1)
+    for _ in range(20):
+        sizes = sorted(rng.sample(range(1, 60), 9))
+        counts = [rng.randint(1, 9) for _ in sizes]
+
+        def cost(bounds):
+            return sum(c * min(b for b in bounds if b >= s) for s, c in zip(sizes, counts))
+
+        best = min(cost((*cut, sizes[-1])) for cut in itertools.combinations(sizes[:-1], 3))
+        got = best_bounds(sizes, counts, 4)
+        assert len(got) == 4 and cost(got) == best
+
+
+def test_packing_places_every_document_once(spark, documents):
+    rows = entry.queries()["op5_pack_buckets"](spark, SF).collect()
+    n = {r.doc_id: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in documents}
+    assert {r.doc_id: r.n_tokens for r in rows} == n
+    assert all(r.n_tokens <= r.bucket_len and r.padding == r.bucket_len - r.n_tokens for r in rows)
+    slots = collections.Counter((r.batch_id, r.slot) for r in rows)
+    assert max(slots.values()) == 1
+    size = collections.Counter(r.batch_id for r in rows)
+    assert all(size[r.batch_id] * r.bucket_len <= 65536 or size[r.batch_id] == 1 for r in rows)
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    import corpus_pipeline as cp
+
+    sf = SF
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    kept = cp.quality(spark, docs, sf)
+    assert kept.columns == columns
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    before = {r.doc_id: r.text for r in kept.collect()}
+
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {d: shingles(t) for d, t in before.items()}
+    low = {d: d for d in sets}
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            inter = len(sets[a] & sets[b])
+            if inter and 100 * inter >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                low[y] = x
+    unique = cp.near_duplicates(spark, kept, sf)
+    assert unique.columns == columns
+    assert sorted(r.doc_id for r in unique.collect()) == [d for d in ids if find(d) == d]
+    clean = cp.decontamination(spark, unique, sf)
+    assert clean.columns == columns and 0 < clean.count() <= unique.count()
+    masked = cp.secrets(spark, clean, sf)
+    assert masked.columns == columns and masked.count() == clean.count()
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    for r in masked.collect():
+        assert r.text == texts[r.doc_id] or ("[SECRET]" in r.text and r.n_chars == len(r.text))
+    assert cp.packing(spark, masked, sf).count() == masked.count()
+    assert [f for _, f in cp.STAGES] == [cp.quality, cp.near_duplicates, cp.decontamination, cp.secrets, cp.packing]
+
+
+def test_pipeline_runs(spark):
+    out = entry.queries()["pipeline"](spark, SF)
+    assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() > 0
