@@ -84,7 +84,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n3 AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n3 > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n3 > 50 * n_words) AND n8 <= 0.25 * n_words AND n101 = 0 AS kept,
+       NOT (n_words < 50 OR 100 * n3 > 50 * n_words) AND 100 * n8 <= 30 * n_words AND n101 = 0 AS kept,
        CAST(n8 AS BIGINT) AS n_covered
 FROM m
 """

@@ -5,7 +5,7 @@ suffixes of different texts never tie.  The ranks of every doubling step give th
 of neighbours by binary lifting.  A suffix's deepest prefix interval has the length m of its longer
 neighbour prefix; it is maximal to the left unless the suffix before it has m + 1.  The spans of the
 maximal repeats of ``min_repeat`` or more words are united; a text fails if they cover more than
-``max_covered`` of its words or if one is longer than ``max_longest`` words.  The base counts of repeated
+``max_covered`` per cent of its words or if one is longer than ``max_longest`` words.  The base counts of repeated
 three-word windows read the same prefixes.
 
 Null or wordless text: all counts zero, base_failed, not kept.  A dup line is one equal to an earlier line
@@ -123,7 +123,7 @@ def quality_rules(
     carry: Sequence[str] = ("doc_id",),
     prefix: str = "",
     min_repeat: int = 8,
-    max_covered: float = 0.25,
+    max_covered: int = 30,
     max_longest: int = 100,
 ) -> DataFrame:
     """``carry`` columns of every document with its counts and verdict."""
@@ -147,7 +147,7 @@ def quality_rules(
         longest = np.zeros(n, np.int64)
         np.maximum.at(longest, doc[at], size)
         failed = (words < 50) | (100 * repeat > 50 * words)
-        kept = ~failed & (cover <= max_covered * words) & (longest <= max_longest)
+        kept = ~failed & (100 * cover <= max_covered * words) & (longest <= max_longest)
         chars = total(NOT_SPACE[raw] & ((raw & 0xC0) != 0x80))
         return [words, chars, total(SYMBOL[raw]), duplicate_lines(raw, off, pre), repeat, failed, kept, cover, longest]
 
