@@ -137,6 +137,15 @@ def _stack(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.uint8)
 
 
+def _plain(col) -> np.ndarray:
+    """A column as numpy: one row of bytes or of list items per value, or one value."""
+    if pa.types.is_binary(col.type):
+        return _stack(col)
+    if pa.types.is_list(col.type):
+        return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    return col.to_numpy(zero_copy_only=False)
+
+
 def _compare_pairs(pairs: DataFrame, nodes: DataFrame, needed: list[int]) -> DataFrame:
     """Pairs (a, b) that pass the sequential test."""
 
@@ -153,7 +162,11 @@ def _compare_pairs(pairs: DataFrame, nodes: DataFrame, needed: list[int]) -> Dat
 
 
 def _blocks(live: DataFrame, needed: list[int]) -> DataFrame:
-    """Surviving pairs of different components within the buckets of ``live`` (key, nid, root, sig)."""
+    """Surviving pairs of different components within the buckets of ``live`` (key, nid, root, sig, keys).
+
+    A pair is reported once: in the first bucket that its nodes share, and by its smaller node if both are
+    outside the bucket's largest component.
+    """
     parts = live.groupBy("key", "root").count()
     sizes = parts.groupBy("key").agg(
         F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("big")
@@ -163,16 +176,15 @@ def _blocks(live: DataFrame, needed: list[int]) -> DataFrame:
     rights = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     right = rows.select(
         "key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("lb"), F.pmod(F.xxhash64("nid"), rights).cast("int").alias("rb"),
-        "nid", "root", "sig", F.lit(False).alias("is_left"),
+        "nid", "root", "sig", "keys", F.lit(False).alias("is_left"), (F.col("root") != F.col("big")).alias("outside"),
     )
     left = rows.filter("root <> big").select(
         "key", F.pmod(F.xxhash64("nid"), lefts).cast("int").alias("lb"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("rb"),
-        "nid", "root", "sig", F.lit(True).alias("is_left"),
+        "nid", "root", "sig", "keys", F.lit(True).alias("is_left"), F.lit(True).alias("outside"),
     )
 
     def flush(group: dict[str, list]) -> pa.RecordBatch:
-        code, nid, root, is_left = (np.concatenate(group[c]) for c in ("code", "nid", "root", "is_left"))
-        sig = np.concatenate(group["sig"])
+        code, key, nid, root, sig, keys, is_left, outside = (np.concatenate(group[c]) for c in columns)
         edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
         out_a, out_b = [], []
         for lo, hi in zip(edge[:-1], edge[1:]):
@@ -180,9 +192,12 @@ def _blocks(live: DataFrame, needed: list[int]) -> DataFrame:
             for at in range(0, len(l), max(1, 200_000 // max(1, len(r)))):
                 some = l[at : at + max(1, 200_000 // max(1, len(r)))]
                 a, b = np.repeat(some, len(r)), np.tile(r, len(some))
-                ok = root[a] != root[b]
+                ok = (root[a] != root[b]) & ~(outside[b] & (nid[b] < nid[a]))
                 a, b = a[ok], b[ok]
                 ok = survivors(a, b, sig, sig, needed)
+                a, b = a[ok], b[ok]
+                same = keys[a] == keys[b]
+                ok = keys[a, same.argmax(1)] == key[a] if len(a) else np.zeros(0, bool)
                 out_a.append(np.minimum(nid[a[ok]], nid[b[ok]]))
                 out_b.append(np.maximum(nid[a[ok]], nid[b[ok]]))
         pair = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0) if out_a else np.zeros((0, 2), np.int64)
@@ -194,10 +209,7 @@ def _blocks(live: DataFrame, needed: list[int]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = {
-                "code": np.asarray(batch.column(0)), "nid": np.asarray(batch.column(1)), "root": np.asarray(batch.column(2)),
-                "sig": _stack(batch.column(3)), "is_left": batch.column(4).to_numpy(zero_copy_only=False),
-            }
+            col = {c: _plain(batch.column(i)) for i, c in enumerate(columns)}
             cut = int(np.searchsorted(col["code"], col["code"][-1]))
             for k, v in col.items():
                 held.setdefault(k, []).append(v[:cut])
@@ -209,10 +221,11 @@ def _blocks(live: DataFrame, needed: list[int]) -> DataFrame:
         if held:
             yield flush(held)
 
+    columns = ["code", "key", "nid", "root", "sig", "keys", "is_left", "outside"]
     both = left.unionByName(right).withColumn("code", F.xxhash64("key", "lb", "rb"))
     n = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        both.select("code", "nid", "root", "sig", "is_left").repartition(n, "code").sortWithinPartitions("code")
+        both.select(*columns).repartition(n, "code").sortWithinPartitions("code")
         .mapInArrow(run, "a bigint, b bigint").distinct()
     )
 
@@ -295,7 +308,7 @@ def near_duplicates(
         else:
             held = texts.join(live.select("nid").distinct(), "nid", "left_semi")
             longer = map_rows(held, ["t"], [("rest", "binary")], _lengthener(size, more), ["nid"])
-            longer = longer.join(nodes.select("nid", "sig"), "nid").select("nid", F.concat("sig", "rest").alias("sig"))
+            longer = longer.join(nodes.select("nid", "sig", "keys"), "nid").select("nid", F.concat("sig", "rest").alias("sig"), "keys")
             sharp = [least_matches(k, percent / 100, miss) for k in range(BATCH, bands * rows + more + 1, BATCH)]
             pairs = _blocks(live.join(scratch.cut(longer, "longer"), "nid"), sharp)
         pairs = scratch.cut(pairs, "survivors")
