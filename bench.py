@@ -40,11 +40,13 @@ def main() -> None:
 
     from tallyfold.models.compare import prediction_table
     from tallyfold.models.glad import glad
-    from tallyfold.models.workers import dawid_skene, mace, one_coin
+    from tallyfold.models.probit import feature_prior
+    from tallyfold.models.workers import OneCoinWorker, dawid_skene, mace, one_coin
     from tallyfold.operators import annotations as A
     from tallyfold.operators.evaluation import evaluation_report
     from tallyfold.plans import registry
     from tallyfold.plans import views as V
+    from tallyfold.plans.prior_models import linear_inputs
 
     registry.load()
     q = registry.QUERIES
@@ -63,6 +65,8 @@ def main() -> None:
         ("zc", lambda: one_coin(ann, rounds=rounds, threshold=None)),
         ("mace", lambda: mace(ann, rounds=rounds)),
         ("glad", lambda: glad(ann, rounds=1, threshold=None, inner_steps=1, step_size=0.5)),
+        ("glad_default_round", lambda: glad(ann, rounds=1, threshold=None)),
+        ("feature_prior_round", lambda: feature_prior(*linear_inputs(spark, SF_DIR), OneCoinWorker(), rounds=1, threshold=None)),
     ):
         seconds[name], fits[name] = timed(fit)
     acc = {

@@ -19,7 +19,7 @@ X_SQL = """SELECT p_partkey AS task_id, CAST(p_partkey * 37 % 101 AS DOUBLE) / 1
 JITTER = "1e-6"
 
 
-def _inputs(spark, d):
+def linear_inputs(spark, d):
     parts = V.table(spark, d, "part")
     x = (F.col("p_partkey") * 37 % 101).cast("double") / 101.0 - 0.5 + F.when(F.col("p_size") % 2 == 1, 0.4).otherwise(-0.4)
     features = parts.select(F.col("p_partkey").alias("task_id"), F.array(x).alias("features"))
@@ -112,7 +112,7 @@ def prior_ctes(model: str, rounds: int, steps: int = 2, freeze: str | None = Non
 
 
 def _fit(spark, d, model, **kw):
-    return feature_prior(*_inputs(spark, d), model, **{"rounds": ROUNDS, "threshold": None, **kw})
+    return feature_prior(*linear_inputs(spark, d), model, **{"rounds": ROUNDS, "threshold": None, **kw})
 
 
 def _scored(fit):
@@ -171,13 +171,13 @@ def _votes_sql(steps: int) -> str:
     SELECT task_id, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS label, round(p, 5) AS mean, round(p - p * p, 5) AS var FROM p""",
 )
 def g26(spark, d):
-    fit = prior_on_votes(*_inputs(spark, d), newton_steps=3)
+    fit = prior_on_votes(*linear_inputs(spark, d), newton_steps=3)
     return fit.predictions.select("task_id", "label", F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var"))
 
 
 @query("g28_feature_map_linear", f"SELECT task_id, round(1e0, 6) AS bias, round(sqrt(1e0) * x, 6) AS phi1 FROM ({X_SQL}) AS f")
 def g28(spark, d):
-    _, features, dims = _inputs(spark, d)
+    _, features, dims = linear_inputs(spark, d)
     phi = mapped(features, feature_map(features, dims))
     return phi.select("task_id", F.round(F.col("phi")[0], 6).alias("bias"), F.round(F.col("phi")[1], 6).alias("phi1"))
 
@@ -189,7 +189,7 @@ def g28(spark, d):
     SELECT task_id, round(p, 5) AS mean FROM p""",
 )
 def g29(spark, d):
-    ann, features, dims = _inputs(spark, d)
+    ann, features, dims = linear_inputs(spark, d)
     fit = prior_on_votes(ann, features, dims, newton_steps=3)
     mirrored = features.select("task_id", F.transform("features", lambda v: -v).alias("features"))
     return fit.predict_new(mirrored).select("task_id", F.round("mean", 5).alias("mean"))
