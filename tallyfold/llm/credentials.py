@@ -1,13 +1,16 @@
 """Secret scan with multipart credential linking.
 
 Strong findings (the base kinds ``assign``, ``access``, ``hex``) are always reported.  Weak parts —
-user or key identifiers, bare random-looking strings, endpoints — mean little alone.  They are joined by
-interval: within a scope (a run of lines without a blank line) every part is widened by ``reach``
-characters and meets the parts that overlap it; a weak part is reported only if a complementary part is
-there (identifier with secret, secret with identifier or endpoint, endpoint with secret).
+user or key identifiers, opaque runs of 20 and more characters, values of any length after a secret's name,
+endpoints — mean little alone.  They are joined by interval: within a scope (a run of lines without a blank
+line) every part is widened by ``reach`` characters and meets the parts there; a weak part is reported only if
+a complementary part is among them (identifier with secret, secret with identifier or endpoint, endpoint with
+secret).  Nothing else decides: no opaque run is dropped for how its characters look, except rulers without
+any letter or digit.  A part is no partner of itself: parts that overlap count only where a secret begins
+inside an endpoint.
 
 Null text: no spans.  Positions are code points, end exclusive.  Ties (same start) are ordered by kind:
-assign, access, hex, then ident, opaque, endpoint.  Every text is scanned whole; repeated rows give
+assign, access, hex, then ident, opaque, endpoint, keyed.  Every text is scanned whole; repeated rows give
 repeated results; an empty table gives an empty result.
 """
 
@@ -33,14 +36,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 IDENT = re.compile(
-    r"(?:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.+-]{3,})",
+    r"(?:(?<!secret)(?<!secret[_-])access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.+-]{3,})",
     re.IGNORECASE | re.ASCII,
 )
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b")
+KEYED = re.compile(
+    r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?"
+    r"|(?:api|secret|private|signing|encryption|auth|shared|master|account|storage)[_-]?(?:access[_-]?)?key)"
+    r"[\"']?\x20*[:=]\x20*[\"']?[^\s\"'<>]+",
+    re.IGNORECASE | re.ASCII,
+)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
-KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
-ROLE = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "opaque": "secret", "endpoint": "place"}
+KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint", "keyed")
+ROLE = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "opaque": "secret", "endpoint": "place", "keyed": "secret"}
+LEAST_OPAQUE = 20
 NEEDS = {"id": ("secret",), "secret": ("id", "place"), "place": ("secret",)}
 FIELDS = [
     ("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string"),
@@ -56,23 +66,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _random_looking(s: str) -> bool:
-    return any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s) and sum(c.isdigit() for c in s) >= 3
+def _outside(start: int, end: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The pieces of a span outside others, given by their starts (ascending) and the largest ends so far."""
+    out = []
+    i = max(0, bisect.bisect_right(starts, start) - 1)
+    while i < len(starts) and starts[i] < end:
+        if starts[i] > start:
+            out.append((start, starts[i]))
+        start = max(start, ends[i])
+        i += 1
+    if start < end:
+        out.append((start, end))
+    return out
+
+
+def _sorted_spans(parts: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    parts = sorted(parts)
+    return [s for s, _, _ in parts], np.maximum.accumulate([e for _, _, e in parts]).tolist() if parts else []
 
 
 def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts outside the strong findings."""
-    found = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
-    found += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _random_looking(m.group())]
-    found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if ":" in text else []
-    starts = [s for s, _, _ in strong]
-    ends = list(np.maximum.accumulate([e for _, _, e in strong])) if strong else []
+    """Weak parts outside the strong findings; of an opaque run, the pieces outside them."""
+    named = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
+    named += [(m.start(), 6, m.end()) for m in KEYED.finditer(text)]
+    found = named + ([(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if ":" in text else [])
+    starts, ends = _sorted_spans(strong)
     free = []
     for s, k, e in found:
         i = bisect.bisect_left(starts, e)
         if not (i and ends[i - 1] > s):
             free.append((s, k, e))
-    return free
+    around = _sorted_spans(named)
+    for m in OPAQUE.finditer(text):
+        for s, e in _outside(m.start(), m.end(), starts, ends):
+            # What follows a named value in the same run is a part of its own; else the run stays whole.
+            own = [(a, b) for a, b in _outside(s, e, *around) if b - a >= LEAST_OPAQUE] or [(s, e)]
+            free += [(a, 4, b) for a, b in own if b - a >= LEAST_OPAQUE and text[a:b].strip("+/_=-")]
+    return sorted(free, key=lambda part: part[1])
 
 
 def linked(text: str, strong: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
@@ -86,14 +116,21 @@ def linked(text: str, strong: list[tuple[int, int, int]], weak: list[tuple[int,
     index = {}
     for key, spans in by.items():
         spans.sort()
-        index[key] = ([s for s, _ in spans], np.maximum.accumulate([e for _, e in spans]).tolist())
+        ends = [e for _, e in spans]
+        index[key] = ([s for s, _ in spans], sorted(ends), np.maximum.accumulate(ends).tolist())
     out = []
     for s, k, e in weak:
-        scope = bisect.bisect_right(cuts, s)
-        for role in NEEDS[ROLE[KINDS[k]]]:
-            starts, ends = index.get((scope, role), ((), ()))
-            i = bisect.bisect_right(starts, e + reach)
-            if i and ends[i - 1] >= s - reach:
+        scope, own = bisect.bisect_right(cuts, s), ROLE[KINDS[k]]
+        for role in NEEDS[own]:
+            starts, ends, reached = index.get((scope, role), ((), (), ()))
+            before, after = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e)
+            near = (before and ends[before - 1] >= s - reach) or (after < len(starts) and starts[after] <= e + reach)
+            if not near and role == "place":
+                i = bisect.bisect_right(starts, s)
+                near = i and reached[i - 1] > s
+            elif not near and own == "place":
+                near = bisect.bisect_left(starts, s) < after
+            if near:
                 out.append((s, k, e))
                 break
     return out
