@@ -1,8 +1,10 @@
 """Packing into optimal length buckets.
 
-The histogram of token counts over all rows is gathered on candidate bounds: exact up to 64, above that 32
-bounds per doubling, so the driver sees at most about 2,000 numbers at any input size.  Dynamic
-programming picks the ``n_buckets`` bounds with the least total padding.  Inside a bucket, batches of
+The exact histogram of token counts over all rows is gathered: one number pair per distinct length.  Texts
+with D distinct lengths hold at least D (D - 1) / 2 tokens, so the driver sees at most about the square root
+of twice the tokens (100,000 pairs for 5 billion tokens).  Dynamic programming over these lengths picks the
+``n_buckets`` bounds with the least total padding; each bound is the longest text of its bucket, at least 1.
+Inside a bucket, batches of
 max(1, ``token_budget`` // bound) rows are cut from hash slices of about ``slice_rows`` rows, so a bucket
 that holds most rows is numbered by many tasks; each slice ends in at most one short batch.
 
@@ -13,48 +15,57 @@ nothing is cut or dropped.  Equal rows are interchangeable within a slice.  An e
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.rows import column
 
-EXACT, PER_DOUBLING = 64, 32
 RESULTS = ("n_tokens", "bucket", "bucket_len", "batch_id", "slot", "padding")
 
 
-def candidate(n: Column) -> Column:
-    """The smallest candidate bound that is at least n."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)) / PER_DOUBLING)))
-    return F.when(n <= EXACT, F.greatest(n, F.lit(1))).otherwise((F.ceil(n / step) * step).cast("bigint"))
-
-
 def best_bounds(lengths: Sequence[int], counts: Sequence[int], n_buckets: int) -> list[int]:
-    """Bounds among ``lengths`` (ascending) whose buckets give the least total padded size."""
-    size, count = np.asarray(lengths, float), np.concatenate([[0.0], np.cumsum(counts)])
+    """Bounds among ``lengths`` (ascending) whose buckets give the least total padded size.
+
+    Ending a bucket at length j after one that ends at i costs cost[i] + size[j] * (count[j] - count[i]): for
+    every i a line in size[j], with slopes that fall as i grows.  The lower envelope of the lines so far is kept,
+    and as sizes grow the best line only moves on, so one round is linear in the lengths and exact in integers.
+    """
+    size, count = [int(x) for x in lengths], [0, *accumulate(int(c) for c in counts)]
     n = len(size)
     k = min(n_buckets, n)
-    cost = np.concatenate([[0.0], size * count[1:]])
+    cost = [0, *(x * c for x, c in zip(size, count[1:]))]
     back = []
     for _ in range(1, k):
-        new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0
+        new, cut = [0] * (n + 1), [0] * (n + 1)
+        hull: list[int] = []
+        best = 0
         for j in range(1, n + 1):
-            options = cost[:j] + size[j - 1] * (count[j] - count[:j])
-            cut[j] = options.argmin()
-            new[j] = options[cut[j]]
+            i = j - 1
+            while len(hull) - best >= 2:
+                a, b = hull[-2], hull[-1]
+                if (cost[i] - cost[a]) * (count[b] - count[a]) > (cost[b] - cost[a]) * (count[i] - count[a]):
+                    break
+                hull.pop()
+            hull.append(i)
+            x = size[j - 1]
+            while best + 1 < len(hull) and cost[hull[best + 1]] - x * count[hull[best + 1]] <= cost[hull[best]] - x * count[hull[best]]:
+                best += 1
+            cut[j] = hull[best]
+            new[j] = cost[cut[j]] + x * (count[j] - count[cut[j]])
         cost = new
         back.append(cut)
     bounds, j = [], n
     for cut in reversed(back):
-        bounds.append(int(lengths[j - 1]))
+        bounds.append(size[j - 1])
         j = cut[j]
         if j == 0:
             break
     if j:
-        bounds.append(int(lengths[j - 1]))
+        bounds.append(size[j - 1])
     return bounds[::-1]
 
 
@@ -71,12 +82,14 @@ def pack(
     (place in the batch) and padding."""
     n_tokens = column(length).cast("bigint") if length else F.regexp_count(column(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     rows = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(carry)], F.greatest(F.coalesce(n_tokens, F.lit(0)), F.lit(0)).alias("n"))
-    hist = rows.groupBy(candidate(F.col("n")).alias("bound")).count().orderBy("bound").collect()
+    hist = rows.groupBy(F.greatest(F.col("n"), F.lit(1)).alias("bound")).count().orderBy("bound").collect()
     if not hist:
         bounds = [1]
     else:
         bounds = best_bounds([r["bound"] for r in hist], [r["count"] for r in hist], n_buckets)
-    at = [sum(r["count"] for r in hist if (b == 0 or r["bound"] > bounds[b - 1]) and r["bound"] <= bounds[b]) for b in range(len(bounds))]
+    at = [0] * len(bounds)
+    for r in hist:
+        at[bisect_left(bounds, r["bound"])] += r["count"]
     pick = F.array(*[F.lit(int(b)) for b in bounds])
     slices = F.array(*[F.lit(max(1, -(-c // slice_rows))) for c in at])
     bucket = F.size(F.filter(pick, lambda b: b < F.col("n"))) + 1

@@ -165,6 +165,41 @@ def test_best_bounds_are_optimal():
         assert len(got) == 4 and cost(got) == best
 
 
+def test_packing_is_padding_minimal_above_64_tokens(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.packing import best_bounds, pack
+
+    rng = random.Random(2)
+    sizes = [0, *rng.sample(range(65, 5000), 8), 1025, 1040]
+    docs = [(i, n) for i, n in enumerate(sizes * 3 + [1025] * 30)]
+
+    def cost(bounds):
+        return sum(min(max(1, b) for b in bounds if b >= n) - n for _, n in docs)
+
+    top = max(sizes)
+    best = min(cost((*cut, top)) for cut in itertools.combinations(sorted({*sizes} - {top}), 3))
+    df = spark.createDataFrame(docs, "doc_id long, n long").withColumn("text", F.repeat(F.lit("w "), F.col("n").cast("int")))
+    rows = pack(df, n_buckets=4).collect()
+    assert len(rows) == len(docs) and sum(r.padding for r in rows) == best
+    longest = collections.defaultdict(int)
+    for r in rows:
+        longest[r.bucket] = max(longest[r.bucket], r.n_tokens)
+    assert all(r.bucket_len == max(1, longest[r.bucket]) for r in rows)
+
+    many = sorted(rng.sample(range(1, 10**6), 300))
+    counts = [rng.choice([1, 1, 2, 50, 1000]) for _ in many]
+    head = [0, *itertools.accumulate(counts)]
+    least = [0] + [many[j - 1] * head[j] for j in range(1, 301)]
+    for _ in range(1, 16):
+        least = [0] + [min(least[i] + many[j - 1] * (head[j] - head[i]) for i in range(j)) for j in range(1, 301)]
+    bounds = best_bounds(many, counts, 16)
+    assert sum(c * min(b for b in bounds if b >= n) for n, c in zip(many, counts)) == least[300]
+
+
 def test_packing_places_every_document_once(spark, documents):
     rows = entry.queries()["op5_pack_buckets"](spark, SF).collect()
     n = {r.doc_id: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in documents}
