@@ -28,11 +28,14 @@ from tallyfold.llm.fitting import below, fit_once
 from tallyfold.llm.rows import column, map_rows
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?]?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*>"
     r"|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
+# Elements that are left out as far as their own end tag; a tag without one is left out alone.
+HIDDEN_TAGS = frozenset("noscript template svg iframe object".split())
+HIDES = re.compile(r"<(?:noscript|template|svg|iframe|object)(?=[\s/>])", re.IGNORECASE)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z0-9]+")
@@ -63,6 +66,26 @@ def _hash(word: str) -> int:
     return (h ^ h >> 15) * 2246822519 & 0xFFFFFFFF
 
 
+def hidden_spans(page: str) -> dict[int, int]:
+    """Start of every hidden element that has an end tag of its own, with the end of that tag."""
+    if not HIDES.search(page):
+        return {}
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in TOKEN.finditer(page):
+        tag = None if m.group(1) else TAG.match(m.group())
+        name = tag.group(2).lower() if tag else ""
+        if name not in HIDDEN_TAGS:
+            continue
+        stack = opened.setdefault(name, [])
+        if not tag.group(1):
+            if name != "svg" or not m.group().endswith("/>"):
+                stack.append(m.start())
+        elif stack:
+            found[stack.pop()] = m.end()
+    return found
+
+
 def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, tag path, share of linked characters) of every non-empty block in page order."""
     out: list[tuple[str, tuple[str, ...], float]] = []
@@ -80,7 +103,11 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             parts.clear()
         linked = total = 0
 
+    hidden = hidden_spans(page or "")
+    shown = 0
     for m in TOKEN.finditer(page or ""):
+        if m.start() < shown:
+            continue
         tok = m.group()
         if tok[0] != "<" or tok == "<":
             parts.append(tok)
@@ -91,6 +118,9 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if m.group(1) or not tag:
             continue
         close, name = tag.group(1), tag.group(2).lower()
+        if name in HIDDEN_TAGS:
+            shown = hidden.get(m.start(), shown)
+            continue
         if name in VOID:
             if name == "hr":
                 flush()

@@ -225,3 +225,22 @@ def test_no_part_is_its_own_partner():
     assert found("callback_url_for_login=https://host.example/a") == []
     assert found("account: bob\n" + "-" * 40) == []
     assert [k for k, _ in found("https://hooks.example/services/T0/B0/abcdefghijklmnopqrst")] == [4, 5]
+
+
+def test_hidden_elements_end_where_they_end():
+    from tallyfold.llm.htmlblocks import leaves
+
+    def texts(page):
+        return [t for t, _, _ in leaves(page)]
+
+    story = "<article><p>One.</p><p>Two.</p></article>"
+    want = ["One.", "Two."]
+    for head in (
+        '<svg class="icon" />', "<svg/>", '<svg aria-label="a > b"/>', "<svg>", "<object-card>", "<template-view></template-view>",
+        "<style-guide>", "<iframe src='x'>", "<object data=x>", "<noscript>", "<template>", "<svg><path d='M0'/><text>no</text></svg>",
+        "<svg><svg>no</svg>no</svg>", "<object><p>no</p></object>", "<script>'<svg>'</script>", "<!-- <svg> -->",
+        "<TEMPLATE><p>no</p></Template >", "<style>p {}</style>",
+    ):
+        assert texts(head + story) == want, head
+        assert texts(head + story + "<svg>no</svg><object>no</object><iframe>no</iframe>") == want, head
+    assert texts("<p>One.<svg/></p><p>Two.<svg>no</svg></p>") == want
