@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes its leaf sequence: one entry per text block with the tag path (tags, class and id words of
-all ancestors) and the block's words, both hashed into fixed vectors.  A bidirectional LSTM in numpy reads
+all ancestors) and all of the block's words, both hashed into fixed vectors.  A bidirectional LSTM in numpy reads
 the whole sequence and labels every block as article or not, so a block is judged with the rest of the
 page in view.  It is trained once, on about ``train_pages`` pages picked by hash: a teacher labels their
 blocks from sectioning tags and class words, and each page is also seen with its containers renamed and
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.fitting import below, fit_once
-from tallyfold.llm.rows import column, map_rows
+from tallyfold.llm.rows import column, map_rows, text_bytes
+from tallyfold.llm.tokens import LOWER, NOT_SPACE, U64, per_text, prefix_hash, range_hash, runs
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -55,8 +56,9 @@ OUTSIDE_WORDS = frozenset(
     "recommended widget toolbar pagination pager search tags copyright legal skip alert".split()
 )
 INSIDE_WORDS = frozenset("article content main post entry story body text".split())
-N_PATH, N_WORD, N_NUM, HIDDEN = 128, 32, 5, 16
+N_PATH, N_WORD, N_NUM, HIDDEN = 128, 128, 5, 16
 WIDTH = N_PATH + N_WORD + N_NUM
+STEP_BLOCKS = 16384
 
 
 def _hash(word: str) -> int:
@@ -170,6 +172,7 @@ def teacher(path: tuple[str, ...], text: str, linked: float) -> bool:
 def vectors(blocks: list[tuple[str, tuple[str, ...], float]], paths: dict) -> np.ndarray:
     """One row per block; ``paths`` keeps the path vectors already made in this task."""
     out = np.zeros((len(blocks), WIDTH), np.float32)
+    out[:, N_PATH : N_PATH + N_WORD], n_words = word_vectors([b[0] for b in blocks])
     for i, (text, path, linked) in enumerate(blocks):
         v = paths.get(path)
         if v is None:
@@ -181,16 +184,19 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], float]], paths: dict) -> np
             if len(paths) < 20000:
                 paths[path] = v
         out[i, :N_PATH] = v
-        words = text.split()
-        codes = np.fromiter((hash_word(w) for w in words), np.int64, len(words)) if len(words) <= 24 else None
-        if codes is not None:
-            out[i, N_PATH : N_PATH + N_WORD] = np.bincount(codes, minlength=N_WORD) / max(1, len(words))
-        out[i, N_PATH + N_WORD :] = (np.log1p(len(text)) / 5, linked, np.log1p(len(words)) / 3, text[-1] in ".!?", i == 0)
+        out[i, N_PATH + N_WORD :] = (np.log1p(len(text)) / 5, linked, np.log1p(n_words[i]) / 3, text[-1] in ".!?", i == 0)
     return out
 
 
-def hash_word(word: str) -> int:
-    return (len(word) * 31 + ord(word[0].lower()) * 7 + ord(word[-1])) % N_WORD
+def word_vectors(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the hashed lower-case words of every text in ``N_WORD`` bins, and the numbers of words."""
+    raw, off = text_bytes(pa.array(texts, pa.string()))
+    raw = LOWER[raw]
+    starts, ends, text = runs(NOT_SPACE[raw], off)
+    bins = (range_hash(prefix_hash(raw), starts, ends) % U64(N_WORD)).astype(np.int64)
+    counts = per_text(text * N_WORD + bins, len(texts) * N_WORD).reshape(-1, N_WORD)
+    n_words = counts.sum(1)
+    return counts / np.maximum(1, n_words)[:, None], n_words
 
 
 def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -257,17 +263,22 @@ def _back(x, mask, p, d, tape, dh_out, grad):
     grad["c" + d] += dg_all.sum((0, 1))
 
 
-def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """Adam on the cross entropy of all blocks."""
-    p = _start(rng)
+def train(pages: list[tuple[list, np.ndarray]], epochs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Adam on the cross entropy of all blocks; a step takes up to 32 pages of like length, or one long page."""
+    p, paths = _start(rng), {}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     for _ in range(epochs):
         order = sorted(rng.permutation(len(pages)).tolist(), key=lambda i: len(pages[i][0]) // 8)
-        groups = [order[a : a + 32] for a in range(0, len(order), 32)]
+        groups: list[list[int]] = []
+        for i in order:
+            if groups and len(groups[-1]) < 32 and (len(groups[-1]) + 1) * (len(pages[i][0]) + 7) <= STEP_BLOCKS:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
         for g in rng.permutation(len(groups)):
             some = [pages[i] for i in groups[g]]
-            x, mask = padded([v for v, _ in some])
+            x, mask = padded([vectors(b, paths) for b, _ in some])
             y = np.zeros(mask.shape, np.float32)
             for j, (_, t) in enumerate(some):
                 y[: len(t), j] = t
@@ -357,15 +368,14 @@ def made_up(rng: np.random.Generator):
 
 def _fit(table: pa.Table | None, epochs: int, copies: int, made: int):
     rng = np.random.default_rng(11)
-    pages, paths = [], {}
+    pages = []
     htmls = sorted(h for h in table.column("h").to_pylist() if h) if table is not None else []
-    for blocks in [*(leaves(h)[:400] for h in htmls), *(made_up(rng) for _ in range(made))]:
+    for blocks in [*(leaves(h) for h in htmls), *(made_up(rng) for _ in range(made))]:
         if not blocks:
             continue
-        pages.append((vectors(blocks, paths), np.array([teacher(p, t, a) for t, p, a in blocks], np.float32)))
+        pages.append((blocks, np.array([teacher(p, t, a) for t, p, a in blocks], np.float32)))
         for _ in range(copies):
-            again, y = retold(blocks, rng)
-            pages.append((vectors(again, paths), y))
+            pages.append(retold(blocks, rng))
     return train(pages, epochs, rng)
 
 

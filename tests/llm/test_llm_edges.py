@@ -244,3 +244,29 @@ def test_hidden_elements_end_where_they_end():
         assert texts(head + story) == want, head
         assert texts(head + story + "<svg>no</svg><object>no</object><iframe>no</iframe>") == want, head
     assert texts("<p>One.<svg/></p><p>Two.<svg>no</svg></p>") == want
+
+
+def test_words_of_long_blocks_reach_the_network():
+    import numpy as np
+
+    from tallyfold.llm.htmlblocks import N_NUM, N_PATH, vectors
+
+    def words(text):
+        return vectors([(text, ("div",), 0.0)], {})[0, N_PATH:-N_NUM]
+
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"gamma{i}" for i in range(60))
+    assert np.isclose(words(a).sum(), 1) and not np.allclose(words(a), words(b))
+    assert np.allclose(words(a), words(a.upper())) and np.allclose(words("é" + a), words("É".lower() + a))
+    # same length, first and last letter
+    assert len({int(words(f"c{x}{y}t").argmax()) for x in "aeiou" for y in "nrs"}) > 8
+
+
+def test_training_sees_every_block(monkeypatch):
+    import pyarrow as pa
+
+    from tallyfold.llm import htmlblocks
+
+    seen = []
+    monkeypatch.setattr(htmlblocks, "train", lambda pages, epochs, rng: seen.extend(pages))
+    htmlblocks._fit(pa.table({"h": ["<p>a b c</p>" * 900 + "<footer>late words</footer>"]}), 1, 0, 0)
+    assert [len(v) for v, _ in seen] == [901] and seen[0][1][-1] == 0
