@@ -30,10 +30,13 @@ def _fields(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 def _judgements(rows: DataFrame, header: bool = False) -> DataFrame:
     """Integer labels; anything else is an error.
 
-    With ``header`` a line without a digit in either label field is the header line and is skipped.
+    With ``header`` a line that holds the column names (in any case, with or without ``id``: ``topicID``,
+    ``topic_id``, ``topic``) is the header line and is skipped.
     """
     if header:
-        rows = rows.filter(F.col("gold").rlike(r"\d") | F.col("label").rlike(r"\d"))
+        names = ["topic_id", "worker_id", "doc_id", "gold", "label"]
+        plain = [F.regexp_replace(F.lower(F.col(n)), "_?id$", "") for n in names]
+        rows = rows.filter(F.concat_ws(" ", *plain) != "topic worker doc gold label")
     for name in ("gold", "label"):
         value = F.col(name).try_cast("int")
         wrong = F.raise_error(F.concat(F.lit(f"{name} is not an integer: "), F.col(name)))

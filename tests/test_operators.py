@@ -278,3 +278,12 @@ def test_feature_map_limit_holds_for_linear_layouts(spark):
     rows = spark.createDataFrame([("a", [0.0])], "task_id string, features array<double>")
     with pytest.raises(ValueError, match="the limit is 512"):
         feature_map(rows, {"linear": list(range(2000))})
+
+
+def test_judgements_2010_skip_only_the_header(spark, tmp_path):
+    (tmp_path / "named").write_text("topicID\tworkerID\tdocID\tgold\tlabel\n1 w d1 2 0\n")
+    assert readers.read_judgements_2010(spark, str(tmp_path / "named")).count() == 1
+    for n, line in enumerate(("20002 w7 doc3 NA NA", "1 w d1 ? ?")):
+        (tmp_path / f"odd{n}").write_text(f"topicID workerID docID gold label\n1 w d1 2 0\n{line}\n")
+        with pytest.raises(Exception, match="not an integer"):
+            readers.read_judgements_2010(spark, str(tmp_path / f"odd{n}")).collect()
