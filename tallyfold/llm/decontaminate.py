@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.rows import column, map_rows, text_bytes
+from tallyfold.llm.rows import column, map_rows, slices, text_bytes
 from tallyfold.llm.tokens import ALNUM, LOWER, U64, covered, ngrams, per_text, prefix_hash, range_hash, runs
 from tallyfold.session import Scratch
 
@@ -118,8 +118,6 @@ def shingle_counts(docs: DataFrame, text_col: str, block: Block) -> np.ndarray:
     vocab, bitmap, lengths = block.vocabulary, block.filter, block.lengths
 
     def run(batches):
-        from tallyfold.llm.rows import slices
-
         total = np.zeros(len(vocab), np.int64)
         for batch in batches:
             if batch.num_rows:
@@ -202,12 +200,14 @@ def decontaminate(
             base = np.searchsorted(doc, np.arange(n))
             start, win = _find(block, low, s, e, doc, h)
             spans, found = spans.to_pylist(), found.to_pylist()
-            spans, found = [x or [] for x in spans], [x or [] for x in found]
-            for a, w in zip(start.tolist(), win.tolist()):
-                d = doc[a]
-                spans[d] = spans[d] + [a - int(base[d]), int(block.size[w])]
-                found[d] = found[d] + block.items[w]
-            return [pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))]
+            spans, found = [x or [] for x in spans], [set(x or ()) for x in found]
+            at = doc[start]
+            for d, a, size in zip(at.tolist(), (start - base[at]).tolist(), block.size[win].tolist()):
+                spans[d] += (a, size)
+            # a window that occurs often in a text brings its items once
+            for d, w in np.unique(np.stack([at, win], 1), axis=0).tolist():
+                found[d].update(block.items[w])
+            return [pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
 
         if b < n_blocks - 1:
             cur = map_rows(cur, ["t", "spans", "found"], [("spans", "array<bigint>"), ("found", "array<string>")], look, carry=[*kept, "t"])
