@@ -170,3 +170,23 @@ def op10_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfold.llm.bwtdedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_bool_or(list_transform(embedding, lambda x: coalesce(x, 0) <> 0))),
+     s AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, c.r, list_inner_product(q.v, c.v) AS score
+           FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS FIRST, r) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query("op13_nearest_vectors", OP13_SQL)
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.blockjoin import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
