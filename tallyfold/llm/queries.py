@@ -190,3 +190,51 @@ def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfold.llm.blockjoin import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+CRC_TABLE_SQL = """SELECT list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+       lambda s, o: xor(s >> 1, (s & 1) * CAST(3988292384 AS BIGINT))) AS v, i FROM range(256) AS t(i)"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a string by its bytes; needs a joined ``crc`` with the list ``v`` of the 256 remainders."""
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substring(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}),"
+        " lambda s, b: xor(s >> 8, crc.v[(xor(s, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+    )
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS v FROM ({CRC_TABLE_SQL})),
+     runs AS (SELECT doc_id, run, count(*) AS n FROM (
+                SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+              WHERE length(run) >= 7 GROUP BY ALL),
+     hashed AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM runs, crc),
+     vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                 SELECT n, CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT))
+                     || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+               WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+     gone AS (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest
+              FROM (SELECT word, CAST(unnest(range(length(word))) AS INT) AS i FROM vocab)),
+     near AS (SELECT a.word, b.word AS near FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT g.word, v.word FROM gone g JOIN vocab v ON g.rest = v.word
+              UNION SELECT v.word, g.word FROM gone g JOIN vocab v ON g.rest = v.word),
+     best AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, encode(near)) AS near, max(m) AS m
+              FROM (SELECT near.word, near, v.n AS m FROM near JOIN vocab v ON v.word = near.near) GROUP BY word),
+     forms AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form,
+                 CASE WHEN m >= 10 * n THEN m END AS form_n FROM vocab v LEFT JOIN best USING (word)),
+     chain(word, up, d) AS (SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+              UNION ALL SELECT chain.word, forms.form, d + 1 FROM chain JOIN forms ON forms.word = chain.up WHERE forms.form IS NOT NULL),
+     ends AS (SELECT word, last(up ORDER BY d) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM forms LEFT JOIN ends USING (word)
+"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfold.llm.spelling import drop_letter, spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), slip=drop_letter(31))
