@@ -238,3 +238,36 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfold.llm.spelling import drop_letter, spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"), slip=drop_letter(31))
+
+
+OP11_SQL = rf"""
+WITH crc AS (SELECT list(v ORDER BY i) AS v FROM ({CRC_TABLE_SQL})),
+     own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     hs AS (SELECT conv_id, t, conv_id - conv_id % 20 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own, crc),
+     conv AS (SELECT hs.conv_id AS c, list_concat(coalesce(b.t, [])[1:hs.h], hs.t[hs.h + 1:]) AS t FROM hs LEFT JOIN own b ON b.conv_id = hs.base),
+     step AS (SELECT c, len(t) AS n, d, t[1:d] AS p, t[d].text AS last FROM (SELECT c, t, unnest(range(len(t) + 1)) AS d FROM conv)),
+     node AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN n = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends,
+                max(len(list_filter(regexp_split_to_array(coalesce(last, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words FROM step GROUP BY d, p),
+     kid AS (SELECT node.*, (SELECT count(*) FROM node k WHERE k.d = node.d + 1 AND k.p[1:node.d] = node.p) AS n_children,
+               (SELECT u.conv_id FROM node u WHERE u.d = node.d - 1 AND node.p[1:u.d] = u.p) AS parent_conv_id FROM node),
+     sub AS (SELECT v.d, v.p, sum(CAST(w.n_children = 0 AS BIGINT)) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved
+             FROM (SELECT kid.*, unnest(range(d + 1)) AS e FROM kid) w JOIN node v ON v.d = w.e AND v.p = w.p[1:w.e] GROUP BY v.d, v.p)
+SELECT conv_id, kid.d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ends, '')) AS ends_sha256
+FROM kid JOIN sub ON sub.d = kid.d AND sub.p = kid.p
+"""
+
+
+@query("op11_conversation_trie", OP11_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.convtrie import prefix_trie, rebuild, turn_digests
+    from tallyfold.session import Scratch
+
+    scratch = Scratch(spark)
+    conv = F.col("conv_id")
+    turns = turn_digests(table(spark, sf_dir, "conversations"))
+    rebuilt, convs = rebuild(scratch.cut(turns, "turns"), F.crc32(conv.cast("string")) % 4, conv - conv % 20, scratch, most=3)
+    return prefix_trie(rebuilt, convs, scratch)
