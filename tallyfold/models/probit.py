@@ -4,9 +4,9 @@
 
 ``phi`` is an explicit feature map: random Fourier features for the RBF block
 and scaled raw values for the linear block, so the kernels are sums over D
-columns and every fit is D x D.  Differences to a full Gaussian process: RBF
-lengthscales are chosen (median rule or given), not learned by gradient; the
-posterior of w is a Laplace approximation.
+columns and every fit is D x D.  Here RBF lengthscales are chosen (inter-quartile
+range or given) and the posterior of w is a Laplace approximation;
+:mod:`tallyfold.models.variational` learns kernel parameters and a variational posterior.
 """
 
 from __future__ import annotations
@@ -60,6 +60,15 @@ class FeatureMap:
         fourier = 0 if self.frequencies is None else len(self.phases)
         return 1 + len(self.linear_dims) + fourier
 
+    def rescaled(self, linear_variance: float, rbf_variance: float, lengthscales: Sequence[float]) -> FeatureMap:
+        """The same random draws under other kernel parameters."""
+        freq = self.frequencies
+        if freq is not None:
+            freq = freq * (np.asarray(self.lengthscales, float) / np.asarray(lengthscales, float))[:, None]
+        return FeatureMap(
+            self.linear_dims, self.rbf_dims, linear_variance, rbf_variance, [float(v) for v in lengthscales], freq, self.phases
+        )
+
     def transform(self, x: np.ndarray) -> np.ndarray:
         """Rows of raw features to rows of phi (bias first)."""
         parts = [np.ones((len(x), 1))]
@@ -145,19 +154,25 @@ def _gram_rows(dim: int, weights: np.ndarray):
 
 
 def spd_inverse(a: np.ndarray) -> np.ndarray:
-    """Inverse of a small symmetric positive definite matrix by elimination.
+    return spd_inverse_logdet(a)[0]
+
+
+def spd_inverse_logdet(a: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log determinant of a small symmetric positive definite matrix by elimination.
 
     Plain array arithmetic: a multi-threaded LAPACK call can stall in a driver
     process that has forked (as launching the JVM does).
     """
     a = np.array(a, dtype=float)
+    logdet = 0.0
     for i in range(len(a)):
         pivot = a[i, i]
+        logdet += math.log(pivot)
         row, col = a[i] / pivot, a[:, i].copy()
         a -= np.outer(col, row)
         a[i], a[:, i] = row, -col / pivot
         a[i, i] = 1.0 / pivot
-    return a
+    return a, logdet
 
 
 def newton_probit(rows: DataFrame, dim: int, weights: np.ndarray | None = None, steps: int = 3):
