@@ -33,6 +33,10 @@ class PairModel:
     def row_gradients(self, p: Params) -> dict[str, Column]:
         raise NotImplementedError
 
+    def row_curvature(self, p: Params) -> dict[str, Column]:
+        """Non-negative scale of the second derivative of each parameter; one per row unless a model knows better."""
+        return {n: F.lit(1.0) for n in [*self.worker_init, *self.task_init]}
+
     def penalty(self, name: str, value: Column) -> Column:
         """Log prior of one parameter (constants dropped)."""
         raise NotImplementedError

@@ -244,6 +244,55 @@ def glad_ctes(ann: str, k: int, rounds: int, steps: int, step_size: float, stren
     return ",\n".join(ctes)
 
 
+def glad_conjugate_ctes(ann: str, k: int, rounds: int, steps: int, step_size: float, strength: float = 1.0) -> str:
+    """One unreported round, then ``rounds``; ``steps`` conjugate-gradient steps of fixed length per M-step.
+
+    Round t ends with workers wa{t}, tasks wb{t} and the largest gradient component top{t}(g).
+    """
+    prior = f"SELECT v AS z, CASE WHEN v = 1 THEN {0.99 / k + 0.01!r}e0 ELSE {0.99 / k!r}e0 END AS p FROM ks"
+    ctes = [
+        f"ks AS ({_labels(k)})",
+        f"ann AS MATERIALIZED (SELECT DISTINCT task_id, worker_id, label FROM ({ann}) AS src)",
+        "wa0 AS (SELECT DISTINCT worker_id, 1e0 AS alpha FROM ann)",
+        "wb0 AS (SELECT DISTINCT task_id, 1e0 AS beta FROM ann)",
+    ]
+
+    def rows(a: str, b: str) -> str:
+        return f"""(SELECT a.task_id, a.worker_id, a.label, w.alpha, exp(t.beta) AS easy, w.alpha * exp(t.beta) AS x
+          FROM ann a JOIN {a} w ON w.worker_id = a.worker_id JOIN {b} t ON t.task_id = a.task_id)"""
+
+    sides = (("a", "worker_id", "alpha", "r.easy"), ("b", "task_id", "beta", "r.x"))
+    for t in range(1, rounds + 2):
+        at = {"a": f"wa{t - 1}", "b": f"wb{t - 1}"}
+        ctes.append(
+            f"""l{t} AS (SELECT r.task_id, ks.v AS z, CASE WHEN r.label = ks.v THEN 1e0 / (1e0 + exp(-r.x))
+              ELSE 1e0 / (1e0 + exp(r.x)) / {k - 1} END AS p FROM {rows(at['a'], at['b'])} r CROSS JOIN ks)"""
+        )
+        ctes += _posterior(f"e{t}", f"l{t}", k, prior)
+        for i in range(steps + 1):
+            n, last = f"{t}_{i}", f"{t}_{i - 1}"
+            for side, key, col, factor in sides:
+                old = "0e0 AS old, 0e0 AS dir, s.h + 1e0 AS h" if i == 0 else "o.g AS old, o.d AS dir, o.h"
+                join = "" if i == 0 else f"JOIN d{side}{last} o ON o.{key} = p.{key}"
+                ctes.append(
+                    f"""g{side}{n} AS MATERIALIZED (SELECT p.{key}, p.{col}, s.g - {strength}e0 * (p.{col} - 1e0) AS g, {old} FROM {at[side]} p JOIN (
+                      SELECT r.{key}, sum({factor} * {factor} / ((1e0 + exp(-r.x)) * (1e0 + exp(r.x)))) AS h, sum((e.g - 1e0 / (1e0 + exp(-r.x))) * {factor}) AS g
+                      FROM {rows(at['a'], at['b'])} r JOIN e{t} e ON e.task_id = r.task_id AND e.z = r.label GROUP BY 1) s ON s.{key} = p.{key} {join})"""
+                )
+            both = f"(SELECT h, g, old FROM ga{n} UNION ALL SELECT h, g, old FROM gb{n})"
+            ctes.append(f"s{n} AS MATERIALIZED (SELECT sum(g * g / h) AS own, sum(g * old / h) AS cr, max(abs(g)) AS top FROM {both} AS u)")
+            if i == steps:
+                break
+            momentum = "0e0" if i == 0 else f"(SELECT greatest(0e0, (x.own - x.cr) / y.own) FROM s{n} x, s{last} y)"
+            for side, key, col, _ in sides:
+                ctes.append(f"d{side}{n} AS MATERIALIZED (SELECT {key}, {col}, g, h, g / h + {momentum} * dir AS d FROM g{side}{n})")
+                ctes.append(f"x{side}{n} AS (SELECT {key}, {col} + {step_size}e0 * d AS {col} FROM d{side}{n})")
+                at[side] = f"x{side}{n}"
+        ctes.append(f"wa{t} AS MATERIALIZED (SELECT * FROM {at['a']}), wb{t} AS MATERIALIZED (SELECT * FROM {at['b']})")
+        ctes.append(f"top{t} AS (SELECT top AS g FROM s{t}_{steps})")
+    return ",\n".join(ctes)
+
+
 def labels_sql(post: str, hard_score: bool = False) -> str:
     """Decoded labels of a posterior CTE: larger label on ties."""
     score = "CAST(b.z AS DOUBLE)" if hard_score else f"round((SELECT max(p.g) FROM {post} p WHERE p.task_id = b.task_id AND p.z = 1), 6)"

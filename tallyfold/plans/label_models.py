@@ -32,6 +32,7 @@ from tallyfold.operators import annotations as A
 from tallyfold.plans import views as V
 from tallyfold.plans.em_sql import (
     ds_ctes,
+    glad_conjugate_ctes,
     glad_ctes,
     labels_sql,
     likelihood_trace_sql,
@@ -163,10 +164,62 @@ def g10(spark, d):
 
 @query("g10_glad_line_search")
 def g10b(spark, d):
-    fit = glad(V.item_annotations(spark, d), rounds=2, threshold=0.0, inner_steps=2)
+    fit = glad(V.item_annotations(spark, d), rounds=2, threshold=0.0, inner_steps=2, solver="ascent")
     return fit.trace
 
 
+CONJUGATE_SQL = glad_conjugate_ctes(V2, 2, 1, 3, 0.5)
+
+
+def _conjugate(spark, d):
+    return glad(V.item_annotations(spark, d), rounds=1, threshold=None, inner_steps=3, step_size=0.5, solver="conjugate")
+
+
+@query("g10_glad_conjugate", f"WITH {CONJUGATE_SQL} SELECT worker_id, round(alpha, 6) AS competence FROM wa2")
+def g10c(spark, d):
+    return _conjugate(spark, d).workers.select("worker_id", F.round("competence", 6).alias("competence"))
+
+
+@query("g10_glad_conjugate_easiness", f"WITH {CONJUGATE_SQL} SELECT task_id, round(beta, 6) AS easiness FROM wb2")
+def g10d(spark, d):
+    return _conjugate(spark, d).tasks.select("task_id", F.round("easiness", 6).alias("easiness"))
+
+
+@query(
+    "g10_glad_gradient_norm",
+    f"WITH {CONJUGATE_SQL} SELECT 0 AS iter, round(g, 5) AS gradient_norm FROM top1 UNION ALL SELECT 1, round(g, 5) FROM top2",
+)
+def g10e(spark, d):
+    trace = _conjugate(spark, d).trace.filter("metric = 'gradient_norm'")
+    return trace.select("iter", F.round("value", 5).alias("gradient_norm"))
+
+
+def _glad_objective(a: str, b: str, e: str) -> str:
+    """Q at the parameters after an M-step, and the log likelihood there."""
+    prior = "CASE WHEN z = 1 THEN ln(0.505e0) ELSE ln(0.495e0) END"
+    x = f"(SELECT a.task_id, a.label, w.alpha * exp(t.beta) AS x FROM ann a JOIN {a} w USING (worker_id) JOIN {b} t USING (task_id))"
+    up, down = "-ln(1e0 + exp(-x))", "-ln(1e0 + exp(x))"
+    return f"""SELECT (SELECT sum(e.g * {up} + (1e0 - e.g) * {down}) FROM {x} r JOIN {e} e ON e.task_id = r.task_id AND e.z = r.label)
+        + (SELECT sum(g * {prior}) FROM {e}) - (SELECT sum((alpha - 1) * (alpha - 1) / 2) FROM {a}) - (SELECT sum((beta - 1) * (beta - 1) / 2) FROM {b}) AS q,
+      (SELECT sum(ln(exp(s0) + exp(s1))) FROM (SELECT task_id, ln(0.495e0) + sum(CASE WHEN label = 0 THEN {up} ELSE {down} END) AS s0,
+         ln(0.505e0) + sum(CASE WHEN label = 1 THEN {up} ELSE {down} END) AS s1 FROM {x} r GROUP BY task_id) AS s)
+        - (SELECT sum(0.5e0 * ln(2 * pi()) + (alpha - 1) * (alpha - 1) / 2) FROM {a})
+        - (SELECT sum(0.5e0 * ln(2 * pi()) + (beta - 1) * (beta - 1) / 2) FROM {b}) AS llh"""
+
+
+@query(
+    "g12_glad_objective",
+    f"""WITH {CONJUGATE_SQL}, o AS (SELECT 0 AS iter, * FROM ({_glad_objective('wa1', 'wb1', 'e1')}) AS x
+        UNION ALL SELECT 1, * FROM ({_glad_objective('wa2', 'wb2', 'e2')}) AS x)
+      SELECT iter, 'q' AS metric, round(q, 3) AS value FROM o UNION ALL SELECT iter, 'log_likelihood', round(llh, 3) FROM o""",
+)
+def g12b(spark, d):
+    fit = glad(
+        V.item_annotations(spark, d), rounds=1, threshold=0.0, inner_steps=3, step_size=0.5, solver="conjugate", logging_freq=1
+    )
+    return fit.trace.filter("metric IN ('q', 'log_likelihood')").select("iter", "metric", F.round("value", 3).alias("value"))
+
+
 @query("g11_glad_prior_k3", f"WITH {glad_ctes(V3, 3, 1, 1, 0.5)} {labels_sql('e2')}")
 def g11(spark, d):
     return _labels(_glad(spark, d, 3))
