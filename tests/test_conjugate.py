@@ -32,6 +32,13 @@ def numpy_optimum(data, g1, steps=4000):
     return a, b
 
 
+def numpy_value(data, g1, a, b):
+    t, w, y = (np.array(c) for c in zip(*data))
+    g, x = np.where(y == 1, g1[t], 1 - g1[t]), a[w] * np.exp(b[t])
+    fit = -g * np.log1p(np.exp(-x)) - (1 - g) * np.log1p(np.exp(x))
+    return fit.sum() - ((a - 1) ** 2).sum() / 2 - ((b - 1) ** 2).sum() / 2
+
+
 def climbed(spark, data, g1, rows_per_part, **how):
     ann = spark.createDataFrame(data, "task_id long, worker_id long, label int")
     scratch = Scratch(spark)
@@ -55,7 +62,10 @@ def test_climb_reaches_the_optimum(spark):
     values = [s.objective for s in path]
     assert all(y > x for x, y in zip(values, values[1:]))
     a, b = numpy_optimum(data, g1)
-    assert np.allclose(got_a, a, atol=0.1) and np.allclose(got_b, b, atol=0.1)
+    best = numpy_value(data, g1, a, b)
+    assert abs(path[-1].objective - best) < 0.05
+    assert path[-1].objective == pytest.approx(numpy_value(data, g1, got_a, got_b))
+    assert np.allclose(got_a, a, atol=0.1)
 
 
 def test_split_keys_give_the_same_steps(spark):
