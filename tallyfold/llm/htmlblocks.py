@@ -15,9 +15,11 @@ trained on the made-up ones alone.
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,10 @@ from tallyfold.llm.fitting import below, fit_once
 from tallyfold.llm.rows import column, map_rows, text_bytes
 from tallyfold.llm.tokens import LOWER, NOT_SPACE, U64, per_text, prefix_hash, range_hash, runs
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?]?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*>"
-    r"|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+RAW = re.compile(r"<(script|style)(?=[\s/>])", re.IGNORECASE)
+RAW_END = {n: re.compile(rf"</{n}\s*>", re.IGNORECASE) for n in ("script", "style")}
+OPEN = re.compile(r"<[/!?]?[a-zA-Z]")
+SPECIAL = re.compile(r"[>\"']")
 # Elements that are left out as far as their own end tag; a tag without one is left out alone.
 HIDDEN_TAGS = frozenset("noscript template svg iframe object".split())
 HIDES = re.compile(r"<(?:noscript|template|svg|iframe|object)(?=[\s/>])", re.IGNORECASE)
@@ -57,6 +57,7 @@ OUTSIDE_WORDS = frozenset(
 )
 INSIDE_WORDS = frozenset("article content main post entry story body text".split())
 N_PATH, N_WORD, N_NUM, HIDDEN = 128, 128, 5, 16
+PATH_ENDS = 48  # a block's path holds so many outermost and innermost elements at most
 WIDTH = N_PATH + N_WORD + N_NUM
 STEP_BLOCKS = 16384
 
@@ -68,23 +69,93 @@ def _hash(word: str) -> int:
     return (h ^ h >> 15) * 2246822519 & 0xFFFFFFFF
 
 
-def hidden_spans(page: str) -> dict[int, int]:
+def scan(page: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of every piece of a page: ``text``, ``tag``, or ``skip`` (comments, scripts, styles).
+
+    The time is linear but for binary searches: a quote that is known to lead to no end of a tag is not followed
+    again, and no search starts where none can succeed.
+    """
+    marks = [m.start() for m in SPECIAL.finditer(page)]
+    ends = [i for i in marks if page[i] == ">"]
+    last = ends[-1] if ends else -1
+    dead: set[int] = set()
+
+    def next_of(places: list[int], at: int) -> int:
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def tag_end(at: int) -> int:
+        """Place after the first ``>`` outside quotes, or -1."""
+        seen = []
+        i = bisect.bisect_left(marks, at)
+        while i < len(marks):
+            place = marks[i]
+            if page[place] == ">":
+                return place + 1
+            if place in dead:
+                break
+            seen.append(place)
+            close = page.find(page[place], place + 1)
+            if close < 0:
+                break
+            i = bisect.bisect_right(marks, close)
+        dead.update(seen)
+        return -1
+
+    at, n = 0, len(page)
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield at, n, "text"
+            return
+        if start > at:
+            yield at, start, "text"
+        at = start + 1
+        kind = "text"
+        raw = RAW.match(page, start) if start < last else None
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at, kind = (close + 3 if close >= 0 else n), "skip"
+        elif raw:
+            close = RAW_END[raw.group(1).lower()].search(page, next_of(ends, raw.end()) + 1)
+            at, kind = (close.end() if close else n), "skip"
+        elif opened := OPEN.match(page, start):
+            end = tag_end(opened.end()) if start < last else -1
+            if end < 0:
+                # no end outside quotes: as far as the next bracket, if that ends the tag
+                other, close = page.find("<", opened.end()), next_of(ends, opened.end())
+                if close >= 0 and (other < 0 or close < other):
+                    end = close + 1
+                elif other < 0:
+                    end = n
+                elif page[start + 1] in "!?" and close >= 0:
+                    end = close + 1
+            if end >= 0:
+                at, kind = end, "tag"
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            close = next_of(ends, start + 2)
+            if close >= 0:
+                at, kind = close + 1, "tag"
+        yield start, at, kind
+
+
+def hidden_spans(page: str, pieces: Sequence[tuple[int, int, str]]) -> dict[int, int]:
     """Start of every hidden element that has an end tag of its own, with the end of that tag."""
     if not HIDES.search(page):
         return {}
     found: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
-    for m in TOKEN.finditer(page):
-        tag = None if m.group(1) else TAG.match(m.group())
+    for start, end, kind in pieces:
+        tag = TAG.match(page, start, end) if kind == "tag" else None
         name = tag.group(2).lower() if tag else ""
         if name not in HIDDEN_TAGS:
             continue
         stack = opened.setdefault(name, [])
         if not tag.group(1):
-            if name != "svg" or not m.group().endswith("/>"):
-                stack.append(m.start())
+            if name != "svg" or not page.endswith("/>", start, end):
+                stack.append(start)
         elif stack:
-            found[stack.pop()] = m.end()
+            found[stack.pop()] = end
     return found
 
 
@@ -100,28 +171,40 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if parts:
             text = SPACES.sub(" ", _html.unescape("".join(parts))).strip()
             if text:
-                path = tuple(t for _, tokens in stack for t in tokens)
+                ends = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+                path = tuple(t for _, tokens in ends for t in tokens)
                 out.append((text, path, linked / max(1, total)))
             parts.clear()
         linked = total = 0
 
-    hidden = hidden_spans(page or "")
+    def leave(depth: int):
+        """Close the elements from ``depth`` on."""
+        nonlocal links
+        for t, _ in stack[depth:]:
+            open_now[t] -= 1
+            links -= t == "a"
+        del stack[depth:]
+
+    page = page or ""
+    open_now: Counter = Counter()
+    pieces = list(scan(page))
+    hidden = hidden_spans(page, pieces)
     shown = 0
-    for m in TOKEN.finditer(page or ""):
-        if m.start() < shown:
+    for start, end, kind in pieces:
+        if start < shown or kind == "skip":
             continue
-        tok = m.group()
-        if tok[0] != "<" or tok == "<":
+        tok = page[start:end]
+        if kind == "text":
             parts.append(tok)
             total += len(tok)
             linked += len(tok) if links else 0
             continue
         tag = TAG.match(tok)
-        if m.group(1) or not tag:
+        if not tag:
             continue
         close, name = tag.group(1), tag.group(2).lower()
         if name in HIDDEN_TAGS:
-            shown = hidden.get(m.start(), shown)
+            shown = hidden.get(start, shown)
             continue
         if name in VOID:
             if name == "hr":
@@ -133,18 +216,20 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if block:
             flush()
         if close:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None and not (not block and any(t in BLOCK for t, _ in stack[at + 1 :])):
-                links -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
+            if open_now[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        leave(i)
+                        break
+                    if not block and stack[i][0] in BLOCK:
+                        break
             continue
         if name in CLOSES_P or name in ("li", "td", "th", "tr", "dd", "dt", "option"):
             ends = {"p"} | ({name} if name in ("li", "tr", "option") else {"td", "th"} if name in ("td", "th") else {"dd", "dt"} if name in ("dd", "dt") else set())
             for i in range(len(stack) - 1, -1, -1):
                 t = stack[i][0]
                 if t in ends:
-                    links -= sum(u == "a" for u, _ in stack[i:])
-                    del stack[i:]
+                    leave(i)
                     break
                 if t in BLOCK:
                     break
@@ -155,6 +240,7 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             tokens += [f"{name}.{w}" for w in WORDS.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())]
             tokens += ["." + w for w in WORDS.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())]
         stack.append((name, tuple(tokens)))
+        open_now[name] += 1
         links += name == "a"
     flush()
     return out
