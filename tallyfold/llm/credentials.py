@@ -6,8 +6,12 @@ endpoints — mean little alone.  They are joined by interval: within a scope (a
 line) every part is widened by ``reach`` characters and meets the parts there; a weak part is reported only if
 a complementary part is among them (identifier with secret, secret with identifier or endpoint, endpoint with
 secret).  Nothing else decides: no opaque run is dropped for how its characters look, except rulers without
-any letter or digit.  A part is no partner of itself: parts that overlap count only where a secret begins
-inside an endpoint.
+any letter or digit.  A part is no partner of itself: of parts that overlap only a named secret (a value after a
+secret's name, the password of ``scheme://user:password@host``, a strong finding) and the endpoint around it count.
+
+``redact`` masks strong findings, and of the linked parts those that are secret by themselves: values after a secret's
+name of six characters or with a digit, opaque runs with a piece that mixes letters and digits or the cases.  Names,
+addresses and long ordinary words stay.
 
 Null text: no spans.  Positions are code points, end exclusive.  Ties (same start) are ordered by kind:
 assign, access, hex, then ident, opaque, endpoint, keyed.  Every text is scanned whole; repeated rows give
@@ -40,7 +44,10 @@ IDENT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b")
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+TARGET = re.compile(r"[^\s\"'<>]+")
+ADDRESS = re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b")
+USERINFO = re.compile(r"[^\s/:@?#]*:([^\s/@?#]+)@")
 KEYED = re.compile(
     r"(?:passw(?:or)?d|passphrase|pwd|secret|token|credentials?"
     r"|(?:api|secret|private|signing|encryption|auth|shared|master|account|storage)[_-]?(?:access[_-]?)?key)"
@@ -85,11 +92,44 @@ def _sorted_spans(parts: list[tuple[int, int, int]]) -> tuple[list[int], list[in
     return [s for s, _, _ in parts], np.maximum.accumulate([e for _, _, e in parts]).tolist() if parts else []
 
 
+def endpoints(text: str) -> list[tuple[int, int, int]]:
+    """Addresses with a scheme (kind 5), the passwords in them (kind 6), and numeric addresses with a port (kind 5).
+
+    Every scheme is read back from its ``://``, so no run of letters is read more than once.
+    """
+    out, last = [], 0
+    at = text.find("://")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in SCHEME:
+            start -= 1
+        while start < at and not "a" <= text[start] <= "z":
+            start += 1
+        target = TARGET.match(text, at + 3) if start < at else None
+        if target:
+            last = target.end()
+            out.append((start, 5, last))
+            user = USERINFO.match(text, at + 3, last)
+            if user:
+                out.append((user.start(1), 6, user.end(1)))
+        at = text.find("://", max(at + 3, last))
+    urls = [(s, e) for s, k, e in out if k == 5]
+    starts = [s for s, _ in urls]
+    for m in ADDRESS.finditer(text):
+        i = bisect.bisect_right(starts, m.start())
+        if not (i and urls[i - 1][1] > m.start()):
+            out.append((m.start(), 5, m.end()))
+    return out
+
+
 def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak parts outside the strong findings; of an opaque run, the pieces outside them."""
     named = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
     named += [(m.start(), 6, m.end()) for m in KEYED.finditer(text)]
-    found = named + ([(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if ":" in text else [])
+    places = endpoints(text) if ":" in text else []
+    taken = {(s, e) for s, _, e in named}
+    named += [(s, k, e) for s, k, e in places if k == 6 and (s, e) not in taken]
+    found = named + [p for p in places if p[1] == 5]
     starts, ends = _sorted_spans(strong)
     free = []
     for s, k, e in found:
@@ -111,13 +151,19 @@ def linked(text: str, strong: list[tuple[int, int, int]], weak: list[tuple[int,
         return []
     cuts = [m.start() for m in BLANK.finditer(text)]
     by: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    named: dict[int, list[int]] = {}
     for s, k, e in (*strong, *weak):
-        by.setdefault((bisect.bisect_right(cuts, s), ROLE[KINDS[k]]), []).append((s, e))
+        scope = bisect.bisect_right(cuts, s)
+        by.setdefault((scope, ROLE[KINDS[k]]), []).append((s, e))
+        if ROLE[KINDS[k]] == "secret" and k != 4:
+            named.setdefault(scope, []).append(s)
     index = {}
     for key, spans in by.items():
         spans.sort()
         ends = [e for _, e in spans]
         index[key] = ([s for s, _ in spans], sorted(ends), np.maximum.accumulate(ends).tolist())
+    for starts in named.values():
+        starts.sort()
     out = []
     for s, k, e in weak:
         scope, own = bisect.bisect_right(cuts, s), ROLE[KINDS[k]]
@@ -125,17 +171,40 @@ def linked(text: str, strong: list[tuple[int, int, int]], weak: list[tuple[int,
             starts, ends, reached = index.get((scope, role), ((), (), ()))
             before, after = bisect.bisect_right(ends, s), bisect.bisect_left(starts, e)
             near = (before and ends[before - 1] >= s - reach) or (after < len(starts) and starts[after] <= e + reach)
-            if not near and role == "place":
+            if not near and role == "place" and k != 4:
                 i = bisect.bisect_right(starts, s)
                 near = i and reached[i - 1] > s
             elif not near and own == "place":
-                near = bisect.bisect_left(starts, s) < after
+                inside = named.get(scope, ())
+                near = bisect.bisect_left(inside, s) < bisect.bisect_left(inside, e)
             if near:
                 out.append((s, k, e))
                 break
     return out
 
 
+PIECE = re.compile(r"[A-Za-z0-9]+")
+VALUE = re.compile(r"[^:=]*[:=]\x20*[\"']?(.*)", re.DOTALL)
+
+
+def secret_by_itself(text: str, start: int, kind: int, end: int) -> bool:
+    """Is a linked part more than a name, an address or a word?"""
+    if kind == 6:
+        value = VALUE.fullmatch(text, start, end)
+        value = value.group(1) if value else text[start:end]
+        return len(value) >= 6 or any(c.isdigit() for c in value)
+    if kind != 4:
+        return False
+    for m in PIECE.finditer(text, start, end):
+        p = m.group()
+        digits = sum(c.isdigit() for c in p)
+        if len(p) > 4 and 0 < digits < len(p):
+            return True
+        if len(p) >= 12 and not digits and p[1:] != p[1:].lower() and p != p.upper():
+            return True
+    return False
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -162,7 +231,7 @@ def scan_secrets(
 def redact(
     docs: DataFrame, text_col: str = "text", size_col: str | None = None, mask: str = "[SECRET]", reach: int = 200
 ) -> DataFrame:
-    """``docs`` with every reported span of the text replaced by ``mask``; null stays null.
+    """``docs`` with every secret of the text (see above) replaced by ``mask``; null stays null.
 
     Overlapping spans become one mask.  ``size_col``, if given, is set to the new length in code points in
     the rows whose text changed.
@@ -174,7 +243,8 @@ def redact(
             parts, at = [], 0
             if t:
                 base = base_spans(t)
-                for s, _, e in sorted(base + linked(t, base, weak_parts(t, base), reach)):
+                more = [p for p in linked(t, base, weak_parts(t, base), reach) if secret_by_itself(t, *p)]
+                for s, _, e in sorted(base + more):
                     if e > at:
                         if s >= at:
                             parts += [t[at:s], mask]

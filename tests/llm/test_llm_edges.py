@@ -224,7 +224,8 @@ def test_no_part_is_its_own_partner():
     assert found("secret_access_key=short") == []
     assert found("callback_url_for_login=https://host.example/a") == []
     assert found("account: bob\n" + "-" * 40) == []
-    assert [k for k, _ in found("https://hooks.example/services/T0/B0/abcdefghijklmnopqrst")] == [4, 5]
+    assert found("https://hooks.example/services/T0/B0/abcdefghijklmnopqrst") == []
+    assert [k for k, _ in found("login: bob https://hooks.example/services/T0/B0/abcdefghijklmnopqrst")] == [3, 4]
 
 
 def test_hidden_elements_end_where_they_end():
