@@ -64,9 +64,9 @@ GROUP BY 1, 2
 
 TOKEN_VECTORS = f"""
 SELECT t.term, e.embedding AS vec FROM (
-  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM benchmark) AS t
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM (
+    SELECT text FROM benchmark UNION ALL SELECT text FROM documents) AS b) AS t
 JOIN embeddings e ON e.vec_id = (ascii(t.term)*31 + length(t.term)*7) % (SELECT count(*) FROM embeddings)
-WHERE length(t.term) < 12
 """
 
 PRED = f"""

@@ -129,10 +129,10 @@ def task_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(term, vec)`` for query tokens shorter than 12 characters."""
+    """``(term, vec)`` for every token of the queries and the documents."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    words = topics(spark, sf_dir).select(F.explode(tokens("text")).alias("term")).distinct()
-    words = words.filter(F.length("term") < 12)
+    texts = topics(spark, sf_dir).select("text").unionByName(documents(spark, sf_dir).select("text"))
+    words = texts.select(F.explode(tokens("text")).alias("term")).distinct()
     slot = (F.ascii("term").cast("long") * 31 + F.length("term") * 7) % emb.count()
     return words.withColumn("vec_id", slot).join(emb, "vec_id").select("term", "vec")
 
