@@ -11,7 +11,9 @@ from tallyfold.models.em import Fit
 from tallyfold.models.glad import glad
 from tallyfold.models.majority import majority_vote
 from tallyfold.models.probit import feature_prior, prior_on_votes
+from tallyfold.models.propagation import gaussian_noise_moments, noise_prior_moments
 from tallyfold.models.sided import gaussian_noise, noise_prior, skill_prior
+from tallyfold.models.variational import variational_prior
 from tallyfold.models.workers import ConfusionWorker, OneCoinWorker, SpammerWorker, dawid_skene, mace, one_coin
 from tallyfold.operators.annotations import canonical
 from tallyfold.operators.evaluation import evaluation_report
@@ -32,6 +34,7 @@ PLAIN: dict[str, Callable[..., Fit]] = {
     "glad": glad,
     "mace": mace,
     "likelihood": gaussian_noise,
+    "likelihood_moments": gaussian_noise_moments,
 }
 FEATURE: dict[str, Callable[..., Fit]] = {
     "gpzc": _with(lambda: OneCoinWorker(init_competence=0.7)),
@@ -40,6 +43,8 @@ FEATURE: dict[str, Callable[..., Fit]] = {
     "gpglad": skill_prior,
     "gpcrowd": noise_prior,
     "gpmv": prior_on_votes,
+    "gpcrowd_moments": noise_prior_moments,
+    "gpzc_variational": lambda ann, features, dims, **kw: variational_prior(ann, features, dims, OneCoinWorker(init_competence=0.7), **kw),
 }
 
 

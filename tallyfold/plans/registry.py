@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from tallyfold.plans import label_models, prior_models, propagation_models, scoring, tables, texts, variational_models  # noqa: F401
+    from tallyfold.plans import comparison, label_models, prior_models, propagation_models, scoring, tables, texts, variational_models  # noqa: F401
