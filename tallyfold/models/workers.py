@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.mathx import digamma
 from tallyfold.models.em import Fit, WorkerModel, fit_em
+from tallyfold.models.restarts import fit_restarts
 
 
 def own_posterior(k: int) -> Column:
@@ -184,19 +185,19 @@ def mace(
     threshold: float | None = None,
     variational: bool = True,
     dedupe: str = "max",
+    restarts: int = 1,
     **kw,
 ) -> Fit:
-    """Spammer model: adds the entropy of every task; the score is the hard label."""
-    fit = fit_em(
-        ann,
-        SpammerWorker(alpha=alpha, beta=beta, variational=variational),
-        rounds=rounds,
-        threshold=threshold,
-        dedupe=dedupe,
-        learn_prior=False,
-        start_posterior="votes",
-        **kw,
-    )
+    """Spammer model: adds the entropy of every task; the score is the hard label.
+
+    With ``restarts`` above 1 that many starts share the passes and the likeliest one is returned.
+    """
+    model = SpammerWorker(alpha=alpha, beta=beta, variational=variational)
+    common = {"rounds": rounds, "threshold": threshold, "dedupe": dedupe, **kw}
+    if restarts > 1:
+        fit = fit_restarts(ann, model, restarts, **common)
+    else:
+        fit = fit_em(ann, model, learn_prior=False, start_posterior="votes", **common)
     entropy = -F.aggregate(
         "p", F.lit(0.0), lambda acc, p: acc + F.when(p > 0, p * F.ln(p)).otherwise(F.lit(0.0))
     )

@@ -121,15 +121,58 @@ def mace_ctes(ann: str, k: int, rounds: int, alpha: float = 0.5, beta: float = 0
         f"q0 AS ({_uniform(k)})",
         """e1 AS MATERIALIZED (SELECT task_id, ks.v AS z,
           avg(CASE WHEN label = ks.v THEN 1e0 ELSE 0e0 END) AS g, 0e0 AS ev FROM ann CROSS JOIN ks GROUP BY 1, 2)""",
+        *_mace_rounds(k, rounds, alpha, beta, delta),
     ]
+    return ",\n".join(ctes)
+
+
+def _mace_likelihood(name: str, before: int) -> str:
+    return f"""{name} AS (SELECT a.task_id, ks.v AS z,
+      CASE WHEN a.label = ks.v THEN 1e0 - s.s ELSE 0e0 END + s.s * x.x AS p
+      FROM ann a JOIN s{before} s ON s.worker_id = a.worker_id
+      JOIN x{before} x ON x.worker_id = a.worker_id AND x.y = a.label CROSS JOIN ks)"""
+
+
+def mace_restart_ctes(
+    ann: str, k: int, rounds: int, restarts: int, noise: float = 0.5, alpha: float = 0.5, beta: float = 0.5, delta: float = 0.01
+) -> str:
+    """Independent fits of every start (task and worker ids carry ``#start``); ``best`` is the posterior of the likeliest."""
+
+    def u(j: str) -> str:
+        return f"(CAST(CAST('0x' || substr(md5('0:' || r || ':' || id || ':' || {j}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0)"
+
+    starts = ", ".join(f"('{r}')" for r in range(restarts))
+    move = f"CASE WHEN r = '0' THEN 0e0 ELSE {noise!r}e0 END"
+    ctes = [
+        f"ks AS ({_labels(k)})",
+        f"""ann AS MATERIALIZED (SELECT task_id || '#' || r AS task_id, worker_id || '#' || r AS worker_id,
+          max(label) AS label FROM ({ann}) AS src CROSS JOIN (VALUES {starts}) AS starts(r) GROUP BY 1, 2)""",
+        """w AS MATERIALIZED (SELECT worker_id, split_part(worker_id, '#', 1) AS id, split_part(worker_id, '#', 2) AS r
+          FROM (SELECT DISTINCT worker_id FROM ann))""",
+        f"s0 AS MATERIALIZED (SELECT worker_id, 0.5e0 + {move} * ({u('0')} - 0.5e0) AS s FROM w)",
+        f"""x0 AS MATERIALIZED (SELECT worker_id, y, x / sum(x) OVER (PARTITION BY worker_id) AS x FROM (
+          SELECT worker_id, v AS y, 1e0 + {move} * {u('(v + 1)')} AS x FROM w CROSS JOIN ks))""",
+        f"q0 AS ({_uniform(k)})",
+        _mace_likelihood("l1", 0),
+        *_posterior("e1p", "l1", k, "SELECT * FROM q0"),
+        """e1 AS MATERIALIZED (SELECT * FROM e1p WHERE NOT ends_with(task_id, '#0') UNION ALL
+          SELECT task_id, ks.v AS z, avg(CASE WHEN label = ks.v THEN 1e0 ELSE 0e0 END) AS g, 0e0 AS ev
+          FROM ann CROSS JOIN ks WHERE ends_with(task_id, '#0') GROUP BY 1, 2)""",
+        *_mace_rounds(k, rounds, alpha, beta, delta),
+        f"""final AS MATERIALIZED (SELECT split_part(task_id, '#', 2) AS r, sum(ev) AS llh FROM e{rounds + 1} WHERE z = 0 GROUP BY 1)""",
+        "chosen AS (SELECT r FROM final ORDER BY round(llh, 6) DESC, CAST(r AS INT) LIMIT 1)",
+        f"""best AS MATERIALIZED (SELECT CAST(split_part(task_id, '#', 1) AS BIGINT) AS task_id, z, g
+          FROM e{rounds} JOIN chosen ON chosen.r = split_part(task_id, '#', 2))""",
+    ]
+    return ",\n".join(ctes)
+
+
+def _mace_rounds(k: int, rounds: int, alpha: float, beta: float, delta: float) -> list[str]:
+    """Later posteriors e2.. and the parameters s1.., x1.. of the smoothed form."""
+    ctes = []
     for t in range(1, rounds + 2):
         if t > 1:
-            ctes.append(
-                f"""l{t} AS (SELECT a.task_id, ks.v AS z,
-                  CASE WHEN a.label = ks.v THEN 1e0 - s.s ELSE 0e0 END + s.s * x.x AS p
-                  FROM ann a JOIN s{t-1} s ON s.worker_id = a.worker_id
-                  JOIN x{t-1} x ON x.worker_id = a.worker_id AND x.y = a.label CROSS JOIN ks)"""
-            )
+            ctes.append(_mace_likelihood(f"l{t}", t - 1))
             ctes += _posterior(f"e{t}", f"l{t}", k, "SELECT * FROM q0")
         ctes.append(
             f"""m{t} AS MATERIALIZED (SELECT a.worker_id, a.label,
@@ -147,7 +190,7 @@ def mace_ctes(ann: str, k: int, rounds: int, alpha: float = 0.5, beta: float = 0
               (sum(CASE WHEN label = ks.v THEN spam ELSE 0 END) + {delta}e0) / (sum(spam) + {delta * k!r}e0) AS x
               FROM m{t} CROSS JOIN ks GROUP BY 1, 2)"""
         )
-    return ",\n".join(ctes)
+    return ctes
 
 
 def digamma_sql(x: str) -> str:

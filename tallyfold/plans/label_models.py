@@ -37,6 +37,7 @@ from tallyfold.plans.em_sql import (
     labels_sql,
     likelihood_trace_sql,
     mace_ctes,
+    mace_restart_ctes,
     shrunk_coin_ctes,
     zc_ctes,
 )
@@ -278,6 +279,29 @@ def g14e(spark, d):
     return fit.workers.select("worker_id", F.round("competence", 6).alias("competence"))
 
 
+STARTS = 2
+
+
+def _mace_starts(spark, d):
+    return mace(V.item_annotations(spark, d), rounds=ROUNDS, variational=False, restarts=STARTS)
+
+
+@query("g14_mace_restarts", f"WITH {mace_restart_ctes(V2, 2, ROUNDS, STARTS)} {labels_sql('best', hard_score=True)}")
+def g14f(spark, d):
+    return _mace_starts(spark, d).labels.select("task_id", "label", "score")
+
+
+@query(
+    "g14_mace_restart_likelihoods",
+    f"""WITH {mace_restart_ctes(V2, 2, ROUNDS, STARTS)}
+    SELECT CAST({ROUNDS} AS INT) AS iter, 'log_likelihood_' || r AS metric, round(llh, 4) AS value FROM final
+    UNION ALL SELECT CAST({ROUNDS} AS INT), 'chosen_start', CAST(r AS DOUBLE) FROM chosen""",
+)
+def g14g(spark, d):
+    trace = _mace_starts(spark, d).trace.filter(F.col("iter") == ROUNDS)
+    return trace.select("iter", "metric", F.round("value", 4).alias("value"))
+
+
 @query(
     "g16_decode",
     f"WITH {ds_ctes(V3, 3, ROUNDS)}, g AS (SELECT task_id, CAST(z AS BIGINT) AS label, round(g, 6) AS p FROM e{ROUNDS}) SELECT * FROM g",

@@ -193,3 +193,61 @@ def test_round_plan_shuffles_annotations_once(spark, items):
     assert plan
     shuffles = [x for x in executed.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
     assert len(shuffles) == 1 and "worker_id" in shuffles[0]
+
+
+def test_restarts_equal_separate_fits(spark, items):
+    """Start 0 is the single fit; every start equals a fit of its own; the likeliest wins."""
+    from tallyfold.models.em import Layout, index_labels
+    from tallyfold.models.restarts import best_start, e_step, m_step, one_start, start_table
+    from tallyfold.models.workers import SpammerWorker
+    from tallyfold.session import Scratch
+
+    single, both = mace(items, rounds=3), mace(items, rounds=3, restarts=3)
+    last = {r["metric"]: r["value"] for r in both.trace.filter("iter = 3").collect()}
+    alone = single.trace.filter("iter = 3 and metric = 'log_likelihood'").first()["value"]
+    assert last["log_likelihood_0"] == pytest.approx(alone, abs=1e-9)
+    values = [last[f"log_likelihood_{r}"] for r in range(3)]
+    assert last["chosen_start"] == best_start(values) and len({round(v, 6) for v in values}) == 3
+
+    # three starts side by side and start 2 alone go through the same parameters
+    scratch, model = Scratch(spark), SpammerWorker(variational=True)
+    layout = Layout(index_labels(canonical(items, "max"), [0, 1]), scratch)
+    wide = start_table(layout.workers(), 2, 3, 0.5, 0)
+    third = one_start(wide, 2).select("worker_id", *[F.col(c).alias(f"{c}_0") for c in ("spamming", "copying", "strategy")])
+    for _ in range(2):
+        wide = scratch.cut(m_step(layout, wide, e_step(layout, wide, 2, 3, False), model, 3))
+        third = scratch.cut(m_step(layout, third, e_step(layout, third, 2, 1, False), model, 1))
+    a, b = as_dict(wide, "worker_id", "spamming_2"), as_dict(third, "worker_id", "spamming_0")
+    assert a.keys() == b.keys() and all(a[w] == pytest.approx(b[w], abs=1e-12) for w in a)
+    layout.close()
+
+
+def test_restarts_share_one_shuffle(spark, items):
+    from tallyfold.models.em import Layout, index_labels
+    from tallyfold.models.restarts import e_step, m_step, start_table
+    from tallyfold.models.workers import SpammerWorker
+    from tallyfold.session import Scratch
+
+    scratch = Scratch(spark)
+    layout = Layout(index_labels(canonical(items, "max"), [0, 1]), scratch)
+    for restarts in (1, 4):
+        params = scratch.cut(start_table(layout.workers(), 2, restarts, 0.5, 0))
+        plan = m_step(layout, params, e_step(layout, params, 2, restarts, False), SpammerWorker(), restarts)
+        executed = plan._jdf.queryExecution().executedPlan().toString()
+        shuffles = [x for x in executed.splitlines() if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
+        assert len(shuffles) == 1 and "worker_id" in shuffles[0]
+    layout.close()
+
+
+def test_restarts_edges(spark, crowded):
+    plain = mace(crowded, rounds=2, restarts=2, rows_per_part=10**6)
+    split = mace(crowded, rounds=2, restarts=2, rows_per_part=20)
+    both = plain.tasks.alias("a").join(split.tasks.alias("b"), "task_id")
+    assert both.count() == 61 and both.filter(F.abs(F.col("a.entropy") - F.col("b.entropy")) > 1e-9).count() == 0
+    empty = mace(crowded.filter("false"), rounds=2, restarts=2, labels=[0, 1])
+    assert empty.labels.count() == empty.workers.count() == 0
+    noted = crowded.unionByName(spark.createDataFrame([("t1", 99, None), ("n", None, 1)], crowded.schema))
+    # a null label or worker is no annotation
+    assert mace(noted, rounds=2, restarts=2).labels.count() == 61
+    with pytest.raises(ValueError, match="noise"):
+        mace(crowded, restarts=2, noise=1.0)
