@@ -6,11 +6,13 @@ of twice the tokens (100,000 pairs for 5 billion tokens).  Dynamic programming o
 ``n_buckets`` bounds with the least total padding; each bound is the longest text of its bucket, at least 1.
 Inside a bucket, batches of
 max(1, ``token_budget`` // bound) rows are cut from hash slices of about ``slice_rows`` rows, so a bucket
-that holds most rows is numbered by many tasks; each slice ends in at most one short batch.
+that holds most rows is numbered by many tasks; each slice ends in at most one short batch.  The token counts
+are written once with a number for each row, and a slice is a hash of that number: equal rows spread over the slices like
+others, and a repeated task finds the same numbers.
 
 The token count is ``length`` if given, else the number of words ``[^\\x20\\x09-\\x0D]+`` of ``text_col``.
 Null text or count: 0 tokens, put in the first bucket.  A text longer than the budget is a batch of its own;
-nothing is cut or dropped.  Equal rows are interchangeable within a slice.  An empty table gives none.
+nothing is cut or dropped.  Equal rows are packed one by one, in any order.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.rows import column
+from tallyfold.session import Scratch
 
 RESULTS = ("n_tokens", "bucket", "bucket_len", "batch_id", "slot", "padding")
 
@@ -82,6 +85,7 @@ def pack(
     (place in the batch) and padding."""
     n_tokens = column(length).cast("bigint") if length else F.regexp_count(column(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     rows = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(carry)], F.greatest(F.coalesce(n_tokens, F.lit(0)), F.lit(0)).alias("n"))
+    rows = Scratch(docs.sparkSession).cut(rows.withColumn("row", F.monotonically_increasing_id()), "lengths")
     hist = rows.groupBy(F.greatest(F.col("n"), F.lit(1)).alias("bound")).count().orderBy("bound").collect()
     if not hist:
         bounds = [1]
@@ -93,11 +97,10 @@ def pack(
     pick = F.array(*[F.lit(int(b)) for b in bounds])
     slices = F.array(*[F.lit(max(1, -(-c // slice_rows))) for c in at])
     bucket = F.size(F.filter(pick, lambda b: b < F.col("n"))) + 1
-    keys = [F.col(f"c{i}") for i in range(len(carry))]
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(pick, F.col("bucket")).cast("bigint"))
-    rows = rows.withColumn("h", F.xxhash64("n", *[k.cast("string") for k in keys]))
+    rows = rows.withColumn("h", F.xxhash64("row"))
     rows = rows.withColumn("slice", F.pmod(F.col("h"), F.element_at(slices, F.col("bucket"))))
-    place = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("h", "n", *keys)) - 1
+    place = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("h", "row")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket_len")))
     rows = rows.withColumn("place", place)
     taken = set(RESULTS)

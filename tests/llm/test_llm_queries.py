@@ -210,6 +210,21 @@ def test_packing_is_padding_minimal_above_64_tokens(spark):
     assert sum(c * min(b for b in bounds if b >= n) for n, c in zip(many, counts)) == least[300]
 
 
+def test_packing_spreads_equal_rows(spark):
+    """A third of all rows are one row repeated: no slice gets more than its share."""
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.packing import pack
+
+    df = spark.range(60000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("one two").alias("text"))
+    rows = pack(df, token_budget=64, slice_rows=1000).collect()
+    assert len(rows) == 60000 and sum(r.doc_id == -1 for r in rows) == 20000
+    slices = collections.Counter(r.batch_id.rsplit("-", 1)[0] for r in rows)
+    equal = collections.Counter(r.batch_id.rsplit("-", 1)[0] for r in rows if r.doc_id == -1)
+    assert len(slices) == len(equal) == 60 and max(slices.values()) < 1300 and max(equal.values()) < 600
+    assert max(collections.Counter((r.batch_id, r.slot) for r in rows).values()) == 1
+
+
 def test_packing_places_every_document_once(spark, documents):
     rows = entry.queries()["op5_pack_buckets"](spark, SF).collect()
     n = {r.doc_id: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in documents}
