@@ -17,8 +17,9 @@ Counts come from every training row, and none is sent to the driver:
    reach) and walks its texts from left to right in step, one word per text (a long one: per lane) and round.
 
 Null text: only the end token.  Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.  A null
-id reads '' in the split.  Repeated rows count and are scored each.  With no training rows N = V = 0 and
-every token is unknown.  64-bit hashes stand for n-grams; two of 10^9 differ by chance 3 in 100.
+id reads '' in the split.  Repeated rows count each; where they would crowd one part (``hot_mb``) they are
+replaced by one row of their summed weight, whose scores all of them get.  With no training rows N = V = 0
+and every token is unknown.  64-bit hashes stand for n-grams; two of 10^9 differ by chance 3 in 100.
 """
 
 from __future__ import annotations
@@ -251,27 +252,48 @@ def score_texts(
     order: int = 2,
     mu: float = 100.0,
     part_mb: int = 6,
+    hot_mb: float = 3,
 ) -> DataFrame:
-    """``carry`` columns of every document with n_tokens, n_known, train_tokens, base_score and score."""
+    """``carry`` columns of every document with n_tokens, n_known, train_tokens, base_score and score.
+
+    Rows of equal key and text meet in one part.  Where they hold more than ``hot_mb`` MB together, one row with
+    their learning weight stands for all of them, and its scores are joined back to each.
+    """
     if order < 1:
         raise ValueError("order must be at least 1")
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(column(text_col).cast("string")))).first()[0] or 0
     n_parts = max(1, -(-size // (part_mb << 20)))
     n_ranges = n_parts
-    types = {f.name: f.dataType for f in docs.schema.fields}
     text = column(text_col).cast("string")
     part = F.pmod(F.xxhash64(column(key_col), text), F.lit(n_parts)).alias("part")
-    rows = docs.select(part, text.alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    names = [f"c{i}" for i in range(len(carry))]
+    same = [column(key_col).isNull(), text.isNull(), column(key_col), text]
+    every = docs.select(
+        part, text.alias("t"), F.coalesce(learn, F.lit(False)).cast("bigint").alias("weight"),
+        F.xxhash64(*same).alias("h1"), F.xxhash64(F.lit(1), *same).alias("h2"), *[column(c).alias(n) for c, n in zip(carry, names)],
+    )
+    held = F.count("*") * (F.coalesce(F.max(F.octet_length("t")), F.lit(0)) + 16)
+    hot = every.groupBy("h1", "h2").agg(held.alias("held"), F.count("*").alias("n"))
+    hot = scratch.cut(hot.filter((F.col("n") > 1) & (F.col("held") > F.lit(hot_mb * (1 << 20)))).select("h1", "h2"), "hot")
+    repeated = not hot.isEmpty()
+    full = every.select("part", "t", "weight", *names)
+    if repeated:
+        once = every.join(hot, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.max("t").alias("t"), F.sum("weight").alias("weight"))
+        once = scratch.cut(once.withColumn("part", F.pmod("h1", F.lit(n_parts))), "once")
+        cold = every.join(hot, ["h1", "h2"], "left_anti")
+        full = cold.select("part", "t", "weight", *names, *[F.lit(None).cast("bigint").alias(h) for h in ("h1", "h2")])
+        full = full.unionByName(once, allowMissingColumns=True)
+    rows = full.select("part", "t", "weight")
 
     def ask(key, group):
-        texts, taught = group.column("t").combine_chunks(), group.column("learn").to_numpy()
+        texts, taught = group.column("t").combine_chunks(), group.column("weight").to_numpy()
         doc, grams = _grams(texts, order)
-        from_train = taught[doc]
+        weight = taught[doc]
         out = {"part": [], "k": [], "range": [], "keys": [], "n": []}
         for k, (keys, place) in enumerate(grams):
-            at = from_train & (place >= 0)
-            n = np.bincount(place[at], minlength=len(keys))
+            at = (weight > 0) & (place >= 0)
+            n = np.bincount(place[at], weights=weight[at], minlength=len(keys)).astype(np.int64)
             numbers, cuts = _ranges(keys, n_ranges)
             for r, a, b in zip(numbers.tolist(), cuts[:-1], cuts[1:]):
                 for name, v in zip(out, (key[0].as_py(), k, r, pack_sorted(keys[a:b]), pack_counts(n[a:b]))):
@@ -307,7 +329,7 @@ def score_texts(
     total, distinct = stats["n"] or 0, stats["v"] or 0
     n_starts = docs.filter(F.coalesce(learn, F.lit(False))).count()
     z = np.log10(total + 0.5 * (distinct + 1))
-    n_carry = len(carry)
+    kept = [c for c in full.columns if c not in ("part", "t", "weight")]
 
     def walk(key, texts, told):
         col = texts.column("t").combine_chunks()
@@ -326,14 +348,18 @@ def score_texts(
         else:
             tokens = known = np.zeros(0, np.int64)
             base = score = np.zeros(0)
-        arrays = [texts.column(f"c{i}") for i in range(n_carry)]
+        arrays = [texts.column(c) for c in kept]
         arrays += [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(score)]
-        return pa.table(arrays, names=[f"c{i}" for i in range(n_carry)] + list(RESULTS))
+        return pa.table(arrays, names=kept + list(RESULTS))
 
     schema = T.StructType(
-        [T.StructField(f"c{i}", types[c]) for i, c in enumerate(carry)]
+        [T.StructField(c, every.schema[c].dataType) for c in kept]
         + T._parse_datatype_string("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields
     )
-    full = docs.select(part, text.alias("t"), *[column(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    out = full.groupBy("part").cogroup(answers.select("part", "k", "range", "n").groupBy("part")).applyInArrow(walk, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry) if c.lower() not in RESULTS], *RESULTS)
+    told = answers.select("part", "k", "range", "n").groupBy("part")
+    out = full.select("part", "t", *kept).groupBy("part").cogroup(told).applyInArrow(walk, schema)
+    if repeated:
+        out = scratch.cut(out, "scores")
+        again = every.select("h1", "h2", *names).join(out.filter("h1 IS NOT NULL").select("h1", "h2", *RESULTS), ["h1", "h2"])
+        out = out.filter("h1 IS NULL").select(*names, *RESULTS).unionByName(again.select(*names, *RESULTS))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names) if c.lower() not in RESULTS], *RESULTS)

@@ -210,6 +210,29 @@ def test_packing_is_padding_minimal_above_64_tokens(spark):
     assert sum(c * min(b for b in bounds if b >= n) for n, c in zip(many, counts)) == least[300]
 
 
+def test_scores_of_repeated_rows_are_those_of_separate_rows(spark):
+    """One row (or a null one) holds a third of the table; the copies differ in a carried column and in learning."""
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm.ngramlm import score_texts
+
+    kind = F.col("id") % 3
+    df = spark.range(900).select(
+        F.when(kind == 0, F.lit(-1)).when(kind == 1, F.col("id")).alias("doc_id"),
+        F.when(kind == 0, F.lit("the same few words again the same")).when(kind == 1, F.concat(F.lit("words of "), F.col("id") % 50)).alias("text"),
+        F.col("id").alias("nth"), (F.col("id") % 5 < 3).alias("h1"),
+    )
+    got = {}
+    for hot in (0.001, 1000.0):
+        rows = score_texts(df, F.col("h1"), carry=("nth", "h1", "doc_id"), hot_mb=hot, order=3).collect()
+        got[hot] = {r.nth: r for r in rows}
+        assert len(rows) == len(got[hot]) == 900
+    for nth, r in got[0.001].items():
+        other = got[1000.0][nth]
+        assert r[:6] == other[:6]
+        assert r.base_score == pytest.approx(other.base_score, rel=1e-12) and r.score == pytest.approx(other.score, rel=1e-12)
+
+
 def test_packing_spreads_equal_rows(spark):
     """A third of all rows are one row repeated: no slice gets more than its share."""
     from pyspark.sql import functions as F
