@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from tallyfold.models.rounds import Rounds, identity
 from tallyfold.operators import skew
 from tallyfold.operators.annotations import canonical
 from tallyfold.session import Scratch, shuffle_partitions
@@ -283,11 +284,16 @@ def fit_em(
     logging_freq: int | None = None,
     rows_per_part: int = skew.ROWS_PER_PART,
     ignore_other_labels: bool = False,
+    resume_dir: str | None = None,
 ) -> Fit:
     """Alternate E and M steps until the log-likelihood settles.
 
     ``start_posterior='votes'`` starts from vote shares instead of from the
     model's initial parameters (for models whose start is symmetric).
+
+    ``resume_dir`` is a folder that driver and executors share.  Every round is committed there, and a fit of the
+    same annotations and settings goes on after the last committed one; ``rounds`` may be larger than before.
+    Rounds of another fit in that folder, or more than ``rounds`` of them, are an error.
     """
     if rounds < 1:
         raise ValueError("rounds must be at least 1")
@@ -302,16 +308,32 @@ def fit_em(
     layout = Layout(index_labels(ann, labels, ignore_other_labels), scratch, rows_per_part)
     like = [model.likelihood(t) for t in range(k)]
     prior = [1.0 / k] * k
-    params = scratch.cut(
-        layout.workers().select("worker_id", *[c.alias(n) for n, c in model.init_columns().items()]), "params"
-    )
+    total = rounds + model.warmup
     columns = step_columns(model)
     trace: list[tuple[int, str, float]] = []
     try:
         before = None  # (params, prior) that produced the current posterior
         last_llh = None
-        total = rounds + model.warmup
-        for t in range(1, total + 2):
+        done, log, found = 0, None, None
+        if resume_dir:
+            settings = {n: v for n, v in vars(model).items() if isinstance(v, int | float | str)}
+            fit = identity(layout.ann, model=model.name, labels=list(labels), learn=learn_prior, start=start_posterior, **settings)
+            log = Rounds(spark, resume_dir, fit)
+            found = log.last()
+
+        def store(t: int, table: DataFrame) -> DataFrame:
+            return log.write(t, table) if log else scratch.cut(table, "params")
+
+        if found:
+            done, old, params, state = found
+            if done > total:
+                raise ValueError(f"{resume_dir} holds {done} rounds, more than {total}")
+            before, prior, last_llh = (old, state["before"]), state["prior"], state["last_llh"]
+            trace = [tuple(entry) for entry in state["trace"]]
+        else:
+            start = [c.alias(n) for n, c in model.init_columns().items()]
+            params = store(0, layout.workers().select("worker_id", *start))
+        for t in range(done + 1, total + 2):
             if t == 1 and start_posterior == "votes":
                 post = vote_shares(layout, k)
             else:
@@ -321,7 +343,7 @@ def fit_em(
                 llh = float(post.agg(F.sum("evidence")).first()[0])
                 trace.append((t - 1 - model.warmup, "log_likelihood", llh))
                 break
-            new = scratch.cut(maximise(layout, params, post, model, columns), "params")
+            new = store(t, maximise(layout, params, post, model, columns))
             new_prior, llh = read_totals(new, k)
             if t > 1:
                 trace.append((t - 1 - model.warmup, "log_likelihood", llh))
@@ -332,13 +354,15 @@ def fit_em(
                 ):
                     break
             last_llh = llh if not (t == 1 and start_posterior) else None
-            if before is not None:
-                scratch.drop(before[0])
-            before = (params, prior)
+            older, before = before, (params, prior)
             params, prior = new, (new_prior if learn_prior else prior)
             if logging_freq and gold is not None and t > model.warmup and (t - 1) % logging_freq == 0:
                 trace += label_metrics(t - model.warmup, decode(post, labels), gold)
                 trace += param_metrics(t - model.warmup, model.worker_table(params), ref_params)
+            if log:
+                log.commit(t, {"before": before[1], "prior": prior, "last_llh": last_llh, "trace": trace})
+            if older is not None:
+                scratch.drop(older[0])
         if total == 1 and start_posterior == "votes":
             final = vote_shares(layout, k)
         else:
