@@ -5,7 +5,10 @@ all ancestors) and all of the block's words, both hashed into fixed vectors.  A
 the whole sequence and labels every block as article or not, so a block is judged with the rest of the
 page in view.  It is trained once, on about ``train_pages`` pages picked by hash: a teacher labels their
 blocks from sectioning tags and class words, and each page is also seen with its containers renamed and
-with boilerplate sections mixed in; ``made`` made-up pages join them.  Every block of every page is then labelled by the network.
+with boilerplate sections mixed in; ``made`` made-up pages join them.  For every such page ``sites`` pages of made-up
+sites are told in the same words: articles with headings in headers, quotes, lists, tables and captions among menus, notices,
+adverts, sidebars and readers' comments, in sectioning tags or plain containers, with usual, unknown or no class names.
+Every block of every page is then labelled by the network.
 
 Null or empty html gives the empty text.  Character references are decoded, white space inside a block is
 one space, blocks are joined in page order by one newline; nothing else is dropped or capped.  Repeated
@@ -248,7 +251,9 @@ def leaves(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
 
 def teacher(path: tuple[str, ...], text: str, linked: float) -> bool:
     """Label of a training block from its containers."""
-    if any(t in OUTSIDE for t in path) or any(t[0] == "." and t[1:] in OUTSIDE_WORDS for t in path):
+    # the header of an article holds its headings
+    tags = path[: path.index("article")] + tuple(t for t in path if t not in ("header", ".header")) if "article" in path else path
+    if any(t in OUTSIDE for t in tags) or any(t[0] == "." and t[1:] in OUTSIDE_WORDS for t in tags):
         return False
     if "article" in path or "main" in path or any(t[0] == "." and t[1:] in INSIDE_WORDS for t in path):
         return True
@@ -425,7 +430,7 @@ def retold(blocks, rng: np.random.Generator):
     for _ in range(int(rng.integers(1, 5))):
         kind = tuple(_AROUND[rng.integers(len(_AROUND))].split())
         size = int(rng.integers(1, 5)) if "a" in kind or "li" in kind else int(rng.integers(2, 40))
-        within = rng.random() < 0.4
+        within = rng.random() < 0.4 and kind[0] != "header"
         path = root + (inside if within else ()) + kind
         place = int(rng.integers(first, len(out) + 1)) if within else int(rng.choice([0, first, len(out)]))
         section = []
@@ -452,7 +457,135 @@ def made_up(rng: np.random.Generator):
     return blocks
 
 
-def _fit(table: pa.Table | None, epochs: int, copies: int, made: int):
+# Usual class names of the parts of a page.
+_NAMES = {
+    "head": ("header", "top", "masthead", "branding"), "menu": ("nav", "menu", "navbar", "links"), "story": ("content", "post", "entry", "story"),
+    "body": ("body", "text", "copy", "inner"), "note": ("cookie", "notice", "consent", "banner"), "ad": ("ad", "promo", "sponsored", "advert"),
+    "side": ("sidebar", "widget", "related", "rail"), "talk": ("comments", "replies", "discussion", "responses"), "reply": ("comment", "reply", "item", "row"),
+    "foot": ("footer", "bottom", "legal", "copyright"), "share": ("share", "social", "tools", "actions"), "page": ("page", "wrapper", "container", "site"),
+}
+
+
+def site(rng: np.random.Generator, words: Sequence[str]):
+    """One page of a made-up site told in ``words``, with its labels."""
+    naming, sectioned = int(rng.choice(3, p=(0.3, 0.5, 0.2))), bool(rng.random() < 0.5)
+    chosen: dict[str, str] = {}
+    out: list[tuple[tuple[str, tuple[str, ...], float], bool]] = []
+
+    def some(low: int, high: int) -> int:
+        return int(rng.integers(low, high + 1))
+
+    def say(low: int, high: int, end: str = "") -> str:
+        at, n = int(rng.integers(len(words))), some(low, high)
+        text = " ".join(words[(at + i) % len(words)] for i in range(n))
+        return (text[:1].upper() + text[1:]).rstrip(".,;:!?") + end
+
+    def box(part: str, tag: str = "div", section: str = "") -> tuple[str, ...]:
+        """The element that holds a part of the page: a sectioning tag, or a container named by the style of the site."""
+        if section and sectioned:
+            tag = section
+            if rng.random() < 0.6:
+                return (tag,)
+        if naming == 2:
+            return (tag,)
+        if part not in chosen:
+            usual = _NAMES[part]
+            chosen[part] = usual[rng.integers(len(usual))] if naming == 0 else "".join("abcdefghiklmnoprstuvwz"[i] for i in rng.integers(0, 22, some(3, 9)))
+        return (tag, f"{tag}.{chosen[part]}", "." + chosen[part])
+
+    def add(text: str, path: tuple[str, ...], good: bool = False, linked: float = 0.0) -> None:
+        out.append(((text, path, linked), good))
+
+    root = ("html", "body") + (box("page") if rng.random() < 0.5 else ())
+
+    def links(path: tuple[str, ...]) -> None:
+        tail = (("ul", "li", "a"), ("a",), ("p", "a"), ("li", "a"))[rng.integers(4)]
+        for _ in range(some(2, 7)):
+            add(say(1, 4), path + tail, linked=1.0)
+
+    def sidebar() -> None:
+        side = root + box("side", section="aside")
+        for _ in range(some(1, 3)):
+            add(say(1, 5), side + (("h2", "h3", "h4", "p")[rng.integers(4)],))
+            if rng.random() < 0.5:
+                add(say(4, 30, "."), side + (("p",), ())[rng.integers(2)])
+            else:
+                links(side)
+
+    def article() -> None:
+        story = root + box("story", section="article" if rng.random() < 0.8 else "main")
+        top = story + (("header",) if rng.random() < 0.4 else ())
+        add(say(2, 12), top + (("h1", "h1", "h2")[rng.integers(3)],), True)
+        if rng.random() < 0.3:
+            add(say(4, 25, "."), top + (("p", "h2")[rng.integers(2)],), True)
+        body = story + (box("body") if rng.random() < 0.4 else ())
+        for kind in rng.choice(8, some(2, 11), p=(0.58, 0.1, 0.08, 0.08, 0.04, 0.05, 0.04, 0.03)):
+            if kind == 0:
+                add(say(3, 70, ".!?"[rng.integers(3)]), body + ("p",), True)
+            elif kind == 1:
+                add(say(1, 8), body + (("h2", "h3", "h4")[rng.integers(3)],), True)
+            elif kind == 2:
+                add(say(5, 50, "."), body + (("blockquote",), ("blockquote", "p"))[rng.integers(2)], True)
+            elif kind == 3:
+                for _ in range(some(2, 6)):
+                    add(say(1, 20, ("", ".")[rng.integers(2)]), body + ("ul" if rng.random() < 0.6 else "ol", "li"), True)
+            elif kind == 4:
+                add(say(3, 15, ("", ".")[rng.integers(2)]), body + ("figure", "figcaption"), True)
+            elif kind == 5:
+                add(say(1, 6), body + ("table", "caption"), True)
+                for _ in range(some(3, 9)):
+                    add(say(1, 4), body + ("table", "tbody", "tr", ("td", "th")[rng.integers(2)]), True)
+            elif kind == 6:
+                add(say(5, 40), body + (("pre",), ("dl", "dd"))[rng.integers(2)], True)
+            else:
+                add(say(4, 25, "."), body + box("ad") + (("p",), ())[rng.integers(2)])
+        if rng.random() < 0.25:
+            links(story + box("share"))
+
+    def comments() -> None:
+        talk = root + box("talk", section="section")
+        if rng.random() < 0.5:
+            add(say(1, 2), talk + (("h2", "h3")[rng.integers(2)],))
+        for _ in range(some(1, 6)):
+            item = talk + box("reply", ("div", "li", "div")[rng.integers(3)])
+            add(say(1, 2) + ("", f" {some(1, 28)}.{some(1, 12)}.20{some(10, 25)}", ":")[rng.integers(3)], item + (("p",), ("h4",), ("div",), ())[rng.integers(4)])
+            for _ in range(some(1, 2)):
+                add(say(2, 50, ".!?"[rng.integers(3)]), item + (("p",), ("p",), ("div",), ())[rng.integers(4)])
+            if rng.random() < 0.3:
+                add(say(1, 1), item + ("a",), linked=1.0)
+
+    if rng.random() < 0.8:
+        add(say(2, 10), ("html", "head", "title"))
+    if rng.random() < 0.3:
+        add(say(6, 35, "."), root + box("note") + (("p",), ())[rng.integers(2)])
+    if rng.random() < 0.7:
+        head = root + box("head", section="header")
+        add(say(1, 3), head + (("a",), ("h1",), ("p",), ())[rng.integers(4)], linked=float(rng.integers(2)))
+        if rng.random() < 0.4:
+            add(say(3, 9), head + ("p",))
+    if rng.random() < 0.8:
+        links(root + box("menu", section="nav"))
+    first = rng.random() < 0.5
+    if first and rng.random() < 0.5:
+        sidebar()
+    article()
+    if rng.random() < 0.5:
+        comments()
+    if not first and rng.random() < 0.5:
+        sidebar()
+    if rng.random() < 0.3:
+        form = root + ("form",)
+        add(say(3, 15, "."), form + (("p",), ("label",))[rng.integers(2)])
+        add(say(1, 3), form + ("button",))
+    if rng.random() < 0.8:
+        foot = root + box("foot", section="footer")
+        if rng.random() < 0.4:
+            links(foot)
+        add(("\u00a9 ", "")[rng.integers(2)] + say(2, 18, ("", ".")[rng.integers(2)]), foot + (("p",), ())[rng.integers(2)])
+    return [b for b, _ in out], np.array([g for _, g in out], np.float32)
+
+
+def _fit(table: pa.Table | None, epochs: int, copies: int, made: int, sites: int):
     rng = np.random.default_rng(11)
     pages = []
     htmls = sorted(h for h in table.column("h").to_pylist() if h) if table is not None else []
@@ -462,6 +595,8 @@ def _fit(table: pa.Table | None, epochs: int, copies: int, made: int):
         pages.append((blocks, np.array([teacher(p, t, a) for t, p, a in blocks], np.float32)))
         for _ in range(copies):
             pages.append(retold(blocks, rng))
+        words = [w for t, _, _ in blocks for w in t.split()][:5000]
+        pages += [site(rng, words) for _ in range(sites)]
     return train(pages, epochs, rng)
 
 
@@ -471,14 +606,15 @@ def extract_text(
     carry: Sequence[str] = ("page_id", "url"),
     prefix: str = "",
     train_pages: int = 250,
-    copies: int = 3,
+    copies: int = 2,
     epochs: int = 6,
     made: int = 100,
+    sites: int = 4,
 ) -> DataFrame:
     """``carry`` columns of every page with text, n_chars and n_blocks (all blocks of the page)."""
     n = pages.count()
     sample = pages.filter(below(column(html_col), train_pages / max(1, n), 5)).select(column(html_col).cast("string").alias("h"))
-    model = fit_once(sample.distinct(), lambda t: _fit(t, epochs, copies, made)) or _fit(None, epochs, copies, made)
+    model = fit_once(sample.distinct(), lambda t: _fit(t, epochs, copies, made, sites)) or _fit(None, epochs, copies, made, sites)
 
     def extract(htmls):
         paths: dict = {}
