@@ -26,7 +26,7 @@ from pyspark.storagelevel import StorageLevel
 from tallyfold.models.rounds import Rounds, identity
 from tallyfold.operators import skew
 from tallyfold.operators.annotations import canonical
-from tallyfold.session import Scratch, shuffle_partitions
+from tallyfold.session import Scratch, shuffle_partitions, watched
 
 MAX_LABELS = 64
 
@@ -117,7 +117,8 @@ class Layout:
         n = shuffle_partitions(spark)
         self.split = self.split_workers = False
         # with so few rows no key can be hot; the count comes from file footers
-        if base.count() > rows_per_part:
+        self.rows = base.count()
+        if self.rows > rows_per_part:
             self.hot = scratch.cut(skew.hot_keys(base, "task_id", rows_per_part), "hot-tasks")
             self.split = not self.hot.isEmpty()
             self.hot_workers = scratch.cut(skew.hot_keys(base, "worker_id", rows_per_part), "hot-workers")
@@ -233,11 +234,16 @@ def maximise(
     return layout.with_tasks(rows, post).groupBy("worker_id").agg(*aggs).select(*out)
 
 
-def read_totals(params: DataFrame, k: int) -> tuple[list[float], float]:
-    row = params.agg(*[F.sum(f"tot_g{i}") for i in range(k)], F.sum("tot_ev")).first()
-    shares = [float(v) for v in row[:k]]
+def total_sums(k: int) -> list[Column]:
+    """Aggregates of a parameter table that :func:`read_totals` reads."""
+    return [F.sum(c).alias(c) for c in [*(f"tot_g{i}" for i in range(k)), "tot_ev"]]
+
+
+def read_totals(seen: dict, k: int) -> tuple[list[float], float]:
+    """Label shares and log evidence from the observed totals of a round."""
+    shares = [float(seen[f"tot_g{i}"]) for i in range(k)]
     n = sum(shares)
-    return [s / n for s in shares], float(row[k])
+    return [s / n for s in shares], float(seen["tot_ev"])
 
 
 def decode(post: DataFrame, labels: Sequence[int], positive: int | None = None) -> DataFrame:
@@ -294,6 +300,10 @@ def fit_em(
     ``resume_dir`` is a folder that driver and executors share.  Every round is committed there, and a fit of the
     same annotations and settings goes on after the last committed one; ``rounds`` may be larger than before.
     Rounds of another fit in that folder, or more than ``rounds`` of them, are an error.
+
+    The totals of a round are observed by the job that writes its parameters, so a round has no other job.  Every
+    ``logging_freq`` rounds the trace also gets label metrics against ``gold`` and errors against ``ref_params``.
+    A table without labels is an error.
     """
     if rounds < 1:
         raise ValueError("rounds must be at least 1")
@@ -309,9 +319,12 @@ def fit_em(
     like = [model.likelihood(t) for t in range(k)]
     prior = [1.0 / k] * k
     total = rounds + model.warmup
-    columns = step_columns(model)
+    columns, sums = step_columns(model), total_sums(k)
+    monitor = Monitor(scratch, gold, ref_params, logging_freq)
     trace: list[tuple[int, str, float]] = []
     try:
+        if layout.rows == 0:
+            raise ValueError("no annotations to learn from")
         before = None  # (params, prior) that produced the current posterior
         last_llh = None
         done, log, found = 0, None, None
@@ -343,8 +356,8 @@ def fit_em(
                 llh = float(post.agg(F.sum("evidence")).first()[0])
                 trace.append((t - 1 - model.warmup, "log_likelihood", llh))
                 break
-            new = store(t, maximise(layout, params, post, model, columns))
-            new_prior, llh = read_totals(new, k)
+            new, seen = watched(lambda table, t=t: store(t, table), maximise(layout, params, post, model, columns), sums)
+            new_prior, llh = read_totals(seen, k)
             if t > 1:
                 trace.append((t - 1 - model.warmup, "log_likelihood", llh))
                 if (
@@ -356,9 +369,8 @@ def fit_em(
             last_llh = llh if not (t == 1 and start_posterior) else None
             older, before = before, (params, prior)
             params, prior = new, (new_prior if learn_prior else prior)
-            if logging_freq and gold is not None and t > model.warmup and (t - 1) % logging_freq == 0:
-                trace += label_metrics(t - model.warmup, decode(post, labels), gold)
-                trace += param_metrics(t - model.warmup, model.worker_table(params), ref_params)
+            if t > model.warmup and monitor.due(t - 1):
+                trace += monitor.rows(t - model.warmup, decode(post, labels), model.worker_table(params))
             if log:
                 log.commit(t, {"before": before[1], "prior": prior, "last_llh": last_llh, "trace": trace})
             if older is not None:
@@ -388,13 +400,45 @@ def vote_shares(layout: Layout, k: int) -> DataFrame:
     )
 
 
-def label_metrics(step: int, labels: DataFrame, gold: DataFrame) -> list[tuple[int, str, float]]:
-    from tallyfold.operators.evaluation import auc, class_scores, one_row
+@dataclass
+class Monitor:
+    """What a fit reports in its first round and every ``every`` rounds after it: labels against ``gold``, worker parameters against ``refs``."""
+
+    scratch: Scratch
+    gold: DataFrame | None = None
+    refs: dict[str, DataFrame] | None = None
+    every: int | None = None
+
+    def due(self, round_: int) -> bool:
+        return bool(self.every) and round_ % self.every == 0
+
+    def rows(self, step: int, labels: DataFrame, workers: DataFrame) -> list[tuple[int, str, float]]:
+        out = [] if self.gold is None else label_metrics(step, labels, self.gold, self.scratch)
+        return out + param_metrics(step, workers, self.refs)
+
+
+def label_metrics(step: int, labels: DataFrame, gold: DataFrame, scratch: Scratch | None = None) -> list[tuple[int, str, float]]:
+    """Confusion cells, accuracy, F1 of both classes and AUC of the decoded labels.
+
+    The posterior is computed once: the job that writes the predictions also counts the cells, and AUC ranks the
+    written rows.  A score without any case is 0, an AUC without both classes is left out.
+    """
+    from tallyfold.operators.evaluation import auc, confusion_cells
 
+    scratch = scratch or Scratch(labels.sparkSession)
     pred = labels.join(gold, "task_id").select("task_id", "gold", F.col("label").alias("pred"), "score")
-    row = one_row(class_scores(pred), auc(pred)).first()
-    wanted = ("acc", "auc", "posi_f1", "nega_f1", "tn", "fp", "fn", "tp")
-    return [(step, name, float(row[name])) for name in wanted if row[name] is not None]
+    pred, cells = watched(lambda table: scratch.cut(table, "predictions"), pred, confusion_cells())
+    tn, fp, fn, tp = (float(cells[c]) for c in ("tn", "fp", "fn", "tp"))
+    area = auc(pred).first()["auc"]
+    scratch.drop(pred)
+    values = {
+        "acc": (tp + tn) / max(1.0, tp + tn + fp + fn),
+        "auc": area,
+        "posi_f1": 2 * tp / max(1.0, 2 * tp + fp + fn),
+        "nega_f1": 2 * tn / max(1.0, 2 * tn + fp + fn),
+        "tn": tn, "fp": fp, "fn": fn, "tp": tp,
+    }
+    return [(step, name, float(v)) for name, v in values.items() if v is not None]
 
 
 def param_metrics(

@@ -25,12 +25,12 @@ from tallyfold.functions.mathx import np_norm_cdf, np_norm_pdf, probit_link
 from tallyfold.models.em import (
     Fit,
     Layout,
+    Monitor,
     WorkerModel,
     decode,
     index_labels,
     maximise,
     posterior,
-    read_totals,
     relative_change_below,
     step_columns,
 )
@@ -38,7 +38,7 @@ from tallyfold.models.majority import majority_vote
 from tallyfold.operators import skew
 from tallyfold.operators.annotations import canonical
 from tallyfold.operators.evaluation import to_class
-from tallyfold.session import Scratch
+from tallyfold.session import Scratch, watched
 
 MAX_DIM = 512
 
@@ -363,12 +363,16 @@ def feature_prior(
     start_weights: np.ndarray | None = None,
     seed: int = 0,
     rows_per_part: int = skew.ROWS_PER_PART,
+    gold: DataFrame | None = None,
+    ref_params: dict[str, DataFrame] | None = None,
+    logging_freq: int | None = None,
 ) -> PriorFit:
     """EM over (true labels) with a worker M-step and a probit prior M-step.
 
     ``freeze`` holds one block at its given start: ``"workers"`` (with
     ``start_params``, a table as returned in ``params``) or ``"prior"`` (with
-    ``start_weights``).
+    ``start_weights``).  Every ``logging_freq`` rounds the trace also gets label metrics against ``gold`` and errors
+    of the new worker parameters against ``ref_params``; the bound is observed by the job that writes the posterior.
     """
     spark = ann.sparkSession
     scratch = Scratch(spark)
@@ -377,6 +381,8 @@ def feature_prior(
     layout = Layout(index_labels(ann, [0, 1]), scratch, rows_per_part)
     like = [model.likelihood(t) for t in range(2)]
     columns = step_columns(model)
+    monitor = Monitor(scratch, gold, ref_params, logging_freq)
+    evidence = [F.sum("evidence").alias("evidence")]
     trace: list[tuple[int, str, float]] = []
     try:
         mean = fit_mean(features, ann, mean_function, offset, mean_model)
@@ -398,8 +404,10 @@ def feature_prior(
         last = None
         for t in range(1, rounds + 1):
             prior = log_prior_table(latent(phi, weights, cov).select("task_id", "f_mean"), prior_power, counts)
-            post = scratch.cut(posterior(layout, params, like, None, task_prior=prior), "posterior")
-            bound = float(post.agg(F.sum("evidence")).first()[0])
+            post, seen = watched(
+                lambda table: scratch.cut(table, "posterior"), posterior(layout, params, like, None, task_prior=prior), evidence
+            )
+            bound = float(seen["evidence"])
             trace.append((t, "evidence_bound", bound - 0.5 * float(weights @ weights)))
             if last is not None and relative_change_below(trace[-1][2], last, threshold):
                 break
@@ -408,6 +416,8 @@ def feature_prior(
                 new = scratch.cut(maximise(layout, params, post, model, columns), "params")
                 scratch.drop(params)
                 params = new
+            if monitor.due(t - 1):
+                trace += monitor.rows(t, decode(post, [0, 1]), model.worker_table(params))
             if freeze != "prior":
                 targets = phi.join(post.select("task_id", F.col("g1").alias("target")), "task_id")
                 weights, cov = newton_probit(targets, fmap.dim, weights, newton_steps)

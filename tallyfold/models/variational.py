@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from tallyfold.constants import JITTER
 from tallyfold.functions.mathx import np_norm_cdf, np_norm_pdf
 from tallyfold.functions.vectorx import gauss_hermite
-from tallyfold.models.em import WorkerModel, Layout, decode, index_labels, maximise, posterior, relative_change_below, step_columns
+from tallyfold.models.em import WorkerModel, Layout, Monitor, decode, index_labels, maximise, posterior, relative_change_below, step_columns
 from tallyfold.models.probit import FeatureMap, PriorFit, feature_map, fit_mean, predict, spd_inverse_logdet
 from tallyfold.operators import skew
 from tallyfold.operators.annotations import canonical
-from tallyfold.session import Scratch
+from tallyfold.session import Scratch, watched
 
 POINTS = 20
 MAX_LOG_STEP = 0.5
@@ -273,11 +273,15 @@ def variational_prior(
     variance: float = 1.0,
     seed: int = 0,
     rows_per_part: int = skew.ROWS_PER_PART,
+    gold: DataFrame | None = None,
+    ref_params: dict[str, DataFrame] | None = None,
+    logging_freq: int | None = None,
 ) -> PriorFit:
     """Crowd labels with q(z), q(w), worker parameters and kernel parameters fitted to one bound.
 
     ``kernel_rate`` fixes the step of the kernel per row instead of adapting it; without ``search`` every step is taken.
-    The trace holds the bound after each E-step and the kernel parameters of the round.
+    The trace holds the bound after each E-step and the kernel parameters of the round and, every ``logging_freq``
+    rounds, label metrics against ``gold`` and errors of the new worker parameters against ``ref_params``.
     """
     scratch = Scratch(ann.sparkSession)
     ann = canonical(ann, dedupe)
@@ -285,6 +289,8 @@ def variational_prior(
     layout = Layout(index_labels(ann, [0, 1]), scratch, rows_per_part)
     like = [model.likelihood(t) for t in range(2)]
     columns = step_columns(model)
+    monitor = Monitor(scratch, gold, ref_params, logging_freq)
+    evidence = [F.sum("evidence").alias("evidence")]
     trace: list[tuple[int, str, float]] = []
     try:
         mean = fit_mean(features, ann, mean_function, offset, mean_model)
@@ -298,8 +304,9 @@ def variational_prior(
             for table in (f, post):
                 scratch.drop(table)
             f = scratch.cut(latent_terms(rows, fmap, q), "latent")
-            post = scratch.cut(posterior(layout, params, like, None, task_prior=f.select("task_id", "lp0", "lp1")), "posterior")
-            bound = float(post.agg(F.sum("evidence")).first()[0] or 0.0) - q.divergence() + kernel_log_prior(fmap)
+            new_post = posterior(layout, params, like, None, task_prior=f.select("task_id", "lp0", "lp1"))
+            post, seen = watched(lambda table: scratch.cut(table, "posterior"), new_post, evidence)
+            bound = float(seen["evidence"] or 0.0) - q.divergence() + kernel_log_prior(fmap)
             trace.append((t - 1, "evidence_bound", bound))
             trace += [(t - 1, f"kernel_{i}", float(v)) for i, v in enumerate(kernel_values(fmap))]
             if t > rounds or (last is not None and relative_change_below(bound, last, threshold)):
@@ -308,6 +315,8 @@ def variational_prior(
             new = scratch.cut(maximise(layout, params, post, model, columns), "params")
             scratch.drop(params)
             params = new
+            if monitor.due(t - 1):
+                trace += monitor.rows(t, decode(post, [0, 1]), model.worker_table(params))
             targets = scratch.cut(rows.join(post.select("task_id", F.col("g1").alias("target")), "task_id"), "targets")
             for _ in range(weight_steps):
                 fmap, q = raise_bound(targets, fmap, q, steps, search)

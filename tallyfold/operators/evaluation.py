@@ -34,11 +34,14 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def confusion_cells() -> list[Column]:
+    """Aggregates tn, fp, fn, tp over ``gold`` and ``pred``."""
+    return [_cell(0, 0).alias("tn"), _cell(0, 1).alias("fp"), _cell(1, 0).alias("fn"), _cell(1, 1).alias("tp")]
+
+
 def confusion(pred: DataFrame) -> DataFrame:
     """One row tn, fp, fn, tp."""
-    return pred.agg(
-        _cell(0, 0).alias("tn"), _cell(0, 1).alias("fp"), _cell(1, 0).alias("fn"), _cell(1, 1).alias("tp")
-    )
+    return pred.agg(*confusion_cells())
 
 
 def accuracy(pred: DataFrame) -> DataFrame:

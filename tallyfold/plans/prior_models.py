@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfold.models.probit import feature_map, feature_prior, mapped, prior_on_votes
-from tallyfold.models.workers import ConfusionWorker, OneCoinWorker, SpammerWorker, mace
+from tallyfold.models.workers import ConfusionWorker, OneCoinWorker, SpammerWorker, dawid_skene, mace
+from tallyfold.operators import annotations as A
 from tallyfold.plans import views as V
-from tallyfold.plans.em_sql import _labels, _posterior, digamma_sql, labels_sql, mace_variational_ctes
+from tallyfold.plans.em_sql import _labels, _posterior, digamma_sql, ds_ctes, labels_sql, mace_variational_ctes
 from tallyfold.plans.fragments import V2, cdf, link, pdf
 from tallyfold.plans.registry import query
 
@@ -234,3 +235,65 @@ def g14_digamma(spark, d):
     from tallyfold.functions.mathx import digamma
 
     return V.table(spark, d, "part").select("p_partkey", F.round(digamma(F.col("p_retailprice").cast("double") / 100.0), 6).alias("psi"))
+
+
+# ---- traces ----
+
+TRACE_GOLD = f"SELECT task_id, max(gold) AS gold FROM ({V2}) AS v GROUP BY 1"
+
+
+def _metrics_sql(t: int, error: str) -> str:
+    """Metrics of the labels of ``e{t}`` and the squared error of a parameter, one row each."""
+    cells = ", ".join(
+        f"CAST(count(*) FILTER (gold = {g} AND label = {p}) AS DOUBLE) AS {name}" for name, g, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+    )
+    values = {
+        **{c: c for c in ("tn", "fp", "fn", "tp")},
+        "acc": "(tp + tn) / (tp + tn + fp + fn)",
+        "posi_f1": "2 * tp / (2 * tp + fp + fn)",
+        "nega_f1": "2 * tn / (2 * tn + fp + fn)",
+    }
+    counted = f"(SELECT {cells} FROM ({labels_sql(f'e{t}')}) AS l JOIN ({TRACE_GOLD}) AS g USING (task_id)) AS c"
+    rows = [f"SELECT '{name}' AS metric, {value} AS value FROM {counted}" for name, value in values.items()]
+    return f"SELECT CAST({t} AS INT) AS iter, metric, round(value, 6) AS value FROM ({' UNION ALL '.join([*rows, error])}) AS m"
+
+
+def _trace_sql(ctes: str, error) -> str:
+    return f"WITH {ctes} " + " UNION ALL ".join(_metrics_sql(t, error(t)) for t in range(1, ROUNDS + 1))
+
+
+def _trace_rows(fit):
+    """All but the evidence and AUC, whose ties depend on the last bit of a score."""
+    rows = fit.trace.filter("metric NOT IN ('log_likelihood', 'evidence_bound', 'auc')")
+    return rows.select("iter", "metric", F.round("value", 6).alias("value"))
+
+
+@query(
+    "a15_fit_trace_metrics",
+    _trace_sql(
+        ds_ctes(V2, 2, ROUNDS),
+        lambda t: f"SELECT 'p_mse' AS metric, avg((p - r) * (p - r)) AS value FROM (SELECT p, CASE WHEN z = y THEN 0.7e0 ELSE 0.3e0 END AS r FROM p{t}) AS d",
+    ),
+)
+def a15_metrics(spark, d):
+    ann = V.item_annotations(spark, d)
+    cells = spark.createDataFrame([(z, y, 0.7 if z == y else 0.3) for z in (0, 1) for y in (0, 1)], "truth int, label int, ref double")
+    ref = ann.select("worker_id").distinct().withColumn("truth", F.explode(F.array(F.lit(0), F.lit(1)))).join(F.broadcast(cells), "truth")
+    fit = dawid_skene(
+        ann, rounds=ROUNDS, threshold=None, gold=A.gold_labels(ann), ref_params={"p": ref}, logging_freq=1
+    )
+    return _trace_rows(fit)
+
+
+@query(
+    "a15_feature_trace_metrics",
+    _trace_sql(
+        prior_ctes("zc", ROUNDS),
+        lambda t: f"SELECT 'competence_mse' AS metric, avg((c - 0.75e0) * (c - 0.75e0)) AS value FROM c{t}",
+    ),
+)
+def a15_features(spark, d):
+    ann = V.item_annotations(spark, d)
+    ref = ann.select("worker_id").distinct().withColumn("ref", F.lit(0.75))
+    fit = _fit(spark, d, OneCoinWorker(init_competence=0.7), gold=A.gold_labels(ann), ref_params={"competence": ref}, logging_freq=1)
+    return _trace_rows(fit)

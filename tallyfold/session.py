@@ -12,8 +12,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "tallyfold", **conf: str) -> SparkSession:
@@ -50,6 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def watched(write: Callable[[DataFrame], DataFrame], table: DataFrame, sums: Sequence[Column]) -> tuple[DataFrame, dict]:
+    """The written table and aggregates over its rows, taken by the very job that writes it.
+
+    They belong to the last stage, whose tasks count once however often earlier stages are repeated after the loss of
+    an executor.
+    """
+    seen = Observation()
+    out = write(table.observe(seen, *sums))
+    return out, seen.get
+
+
 class Scratch:
     """Tables of one job in the shared folder."""
 
