@@ -93,12 +93,11 @@ def a05(spark, d):
     return readers.read_topics(spark, path)
 
 
-@query(
-    "a06_read_tagged_topics",
-    """SELECT CAST(item_id AS VARCHAR) AS topic_id, 'about item ' || item_id || ' ' ||
-      trim(regexp_replace(text, '[<>\\s]+', ' ', 'g')) AS text FROM benchmark""",
-)
-def a06(spark, d):
+TAGGED_SQL = """SELECT CAST(item_id AS VARCHAR) AS topic_id, 'about item ' || item_id || ' ' ||
+      trim(regexp_replace(text, '[<>\\s]+', ' ', 'g')) AS text FROM benchmark"""
+
+
+def _tagged_file(spark, d) -> str:
     path = Scratch(spark).path("tagged")
     body = F.trim(F.regexp_replace("text", r"[<>\s]+", " "))
     t = F.col("topic_id").cast("string")
@@ -107,7 +106,30 @@ def a06(spark, d):
         F.lit("\n</top>\n"),
     )
     V.topics(spark, d).select(block.alias("value")).write.text(path)
-    return readers.read_tagged_topics(spark, path)
+    return path
+
+
+@query("a06_read_tagged_topics", TAGGED_SQL)
+def a06(spark, d):
+    return readers.read_tagged_topics(spark, _tagged_file(spark, d))
+
+
+@query("a06_read_tagged_topics_ranges", TAGGED_SQL)
+def a06_ranges(spark, d):
+    """Byte ranges far smaller than a file."""
+    return readers.read_tagged_topics(spark, _tagged_file(spark, d), split_bytes=4096)
+
+
+@query("a04_read_corpus_records", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def a04_records(spark, d):
+    """Files of many documents, written from the table and read by byte ranges of 256 KB."""
+    path = Scratch(spark).path("records")
+    docs = V.documents(spark, d).filter("text IS NOT NULL")
+    record = F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n<TEXT>"), F.col("text"), F.lit("</TEXT>\n</DOC>"))
+    docs.select(record.alias("value")).write.text(path)
+    text = F.regexp_extract("text", r"(?s)^<TEXT>(.*)</TEXT>\s*</DOC>$", 1)
+    rows = readers.read_corpus_records(spark, path, split_bytes=1 << 18)
+    return rows.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 @query(

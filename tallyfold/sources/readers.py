@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.constants import ANNOTATION_SCHEMA
 from tallyfold.operators.joins import file_stem
+from tallyfold.sources.records import SPLIT_BYTES, read_marked
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +69,22 @@ def read_corpus(spark: SparkSession, path: str, doc_id: Column | None = None) ->
     )
 
 
+def read_corpus_records(
+    spark: SparkSession, path: str, marker: str = "<DOC>", doc_id: str = r"<DOCNO>\s*(\S+)\s*</DOCNO>", split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """``(doc_id, text)`` of files that hold many documents, read by byte ranges.
+
+    A document begins with ``marker``; its id is the first group of the pattern ``doc_id`` and its text the whole
+    record without marker and id.  A document without an id is an error.
+    """
+    found = F.regexp_extract("value", doc_id, 1)
+    missing = F.raise_error(F.concat(F.lit("document without id at byte "), F.col("place").cast("string"), F.lit(" of "), F.col("file")))
+    body = F.regexp_replace(F.substring(F.col("value"), len(marker) + 1, 2**31 - 1), f"^(?s)(.*?){doc_id}", "$1")
+    return read_marked(spark, path, marker, split_bytes).select(
+        F.when(found != "", found).otherwise(missing).alias("doc_id"), F.trim(body, F.lit(" \n\r\t")).alias("text")
+    )
+
+
 def read_corpus_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "text")
 
@@ -86,12 +103,19 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_tagged_topics(spark: SparkSession, path: str) -> DataFrame:
-    """Tagged topics: the query is the title plus the line after ``<desc>``."""
-    block = F.explode(
-        F.regexp_extract_all(F.col("value"), F.lit(r"(?s)<num>.*?(?=<num>|\z)"), F.lit(0))
-    )
-    topics = spark.read.text(path, wholetext=True).select(block.alias("b"))
+def read_tagged_topics(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """Tagged topics: the query is the title plus the line after ``<desc>``.
+
+    A file is read whole by one task unless ``split_bytes`` is given: then byte ranges of that size are read by tasks of
+    their own, with the same rows (:mod:`tallyfold.sources.records`; files are opened by pyarrow).
+    """
+    if split_bytes is None:
+        block = F.explode(
+            F.regexp_extract_all(F.col("value"), F.lit(r"(?s)<num>.*?(?=<num>|\z)"), F.lit(0))
+        )
+        topics = spark.read.text(path, wholetext=True).select(block.alias("b"))
+    else:
+        topics = read_marked(spark, path, "<num>", split_bytes).select(F.col("value").alias("b"))
     number = F.regexp_replace(F.regexp_extract("b", r"<num>([^\n]*)", 1), "Number:", "")
     title = F.regexp_extract("b", r"<title>([^\n]*)", 1)
     desc = F.regexp_extract("b", r"<desc>[^\n]*\n([^\n]*)", 1)
