@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.constants import ANNOTATION_SCHEMA
 from tallyfold.operators.joins import file_stem
+from tallyfold.sources.packed import read_packed
 from tallyfold.sources.records import SPLIT_BYTES, read_marked
 
 
@@ -54,12 +55,17 @@ def read_judgements_2011(spark: SparkSession, path: str) -> DataFrame:
     return _judgements(_fields(spark, path, ["topic_id", "assignment_id", "worker_id", "doc_id", "gold", "label"]))
 
 
-def read_corpus(spark: SparkSession, path: str, doc_id: Column | None = None) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, doc_id: Column | None = None, packed: bool = False) -> DataFrame:
     """Folder of text files (recursive, hidden files skipped) as ``(doc_id, text)``.
 
     The id is the file name unless ``doc_id`` derives it from ``_metadata``.  One
     file is one row; use :func:`read_corpus_table` for corpora kept as Parquet.
+    With ``packed`` a file holds any number of documents with their ids
+    (:func:`tallyfold.sources.packed.write_packed`) and many tasks read it; ``doc_id`` may change the id.
     """
+    if packed:
+        rows = read_packed(spark, path)
+        return rows if doc_id is None else rows.withColumn("doc_id", doc_id)
     if doc_id is None:
         doc_id = file_stem(F.col("_metadata.file_name"))
     return (
