@@ -287,3 +287,13 @@ def test_judgements_2010_skip_only_the_header(spark, tmp_path):
         (tmp_path / f"odd{n}").write_text(f"topicID workerID docID gold label\n1 w d1 2 0\n{line}\n")
         with pytest.raises(Exception, match="not an integer"):
             readers.read_judgements_2010(spark, str(tmp_path / f"odd{n}")).collect()
+
+
+def test_strata_keep_tasks_and_workers_of_any_size(spark):
+    rows = spark.range(100_001).select(
+        F.lit("t").alias("task_id"), F.col("id").alias("worker_id"), F.lit(1).alias("gold"), F.lit(1).alias("label")
+    )
+    for df in (rows, rows.select(F.col("worker_id").alias("task_id"), F.lit("w").alias("worker_id"), "gold", "label")):
+        out = P.count_strata(df).groupBy("t", "a").count().collect()
+        assert [r["count"] for r in out] == [100_001] and {out[0]["t"], out[0]["a"]} == {0, 1}
+    assert P.count_strata(rows, task_edges=(0, 5, 1e5)).count() == 0
