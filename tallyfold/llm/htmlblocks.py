@@ -585,7 +585,7 @@ def site(rng: np.random.Generator, words: Sequence[str]):
     return [b for b, _ in out], np.array([g for _, g in out], np.float32)
 
 
-def _fit(table: pa.Table | None, epochs: int, copies: int, made: int, sites: int):
+def _fit(table: pa.Table | None, epochs: int, copies: int, made: int, sites: int = 0):
     rng = np.random.default_rng(11)
     pages = []
     htmls = sorted(h for h in table.column("h").to_pylist() if h) if table is not None else []
